@@ -79,7 +79,7 @@ def centroids(edges: DataFrame) -> DataFrame:
     ring = edges.groupBy(*RING).agg((F.sum(cross) / 2).alias("a"), F.sum((F.col("x1") + F.col("x2")) * cross).alias("sx"), F.sum((F.col("y1") + F.col("y2")) * cross).alias("sy"), F.min("x1").alias("x0"), F.max("x1").alias("x9"), F.min("y1").alias("y0"), F.max("y1").alias("y9"))
     sign = F.signum("a") * F.when(F.col("ring") == 0, 1).otherwise(-1)
     whole = ring.groupBy("id").agg(F.sum(sign * F.col("a")).alias("a"), F.sum(sign * F.col("sx")).alias("sx"), F.sum(sign * F.col("sy")).alias("sy"), F.min("x0").alias("x0"), F.max("x9").alias("x9"), F.min("y0").alias("y0"), F.max("y9").alias("y9"))
-    return whole.select("id", (F.col("sx") / (6 * F.col("a"))).alias("x"), (F.col("sy") / (6 * F.col("a"))).alias("y"), ((F.col("x0") + F.col("x9")) / 2).alias("mid_x"), ((F.col("y0") + F.col("y9")) / 2).alias("mid_y"))
+    return whole.select("id", F.try_divide(F.col("sx"), 6 * F.col("a")).alias("x"), F.try_divide(F.col("sy"), 6 * F.col("a")).alias("y"), ((F.col("x0") + F.col("x9")) / 2).alias("mid_x"), ((F.col("y0") + F.col("y9")) / 2).alias("mid_y"))
 
 
 def crossings(edges: DataFrame, cells: int = 64) -> DataFrame:

@@ -47,9 +47,10 @@ def merge_partials(partials: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def moments(n: Column, s: Column, s2: Column) -> dict[str, Column]:
-    """Mean, population variance from the moments (never negative), deviation, coefficient of variation."""
-    mean = s / n
-    variance = F.greatest(F.lit(0.0), s2 / n - mean * mean)
+    """Mean, population variance from the moments (never negative), deviation, coefficient of variation.
+    Without pixels the mean is null, and the others are 0."""
+    mean = F.try_divide(s, n)
+    variance = F.greatest(F.lit(0.0), F.try_divide(s2, n) - mean * mean)
     return {"mean": mean, "variance": variance, "stddev": F.sqrt(variance), "cv": F.when(mean > 0, F.sqrt(variance) / mean).otherwise(0.0)}
 
 
@@ -121,7 +122,7 @@ def zonal_summary(pixels: DataFrame, keys: list[str], thresholds: tuple[float, .
     quantiles = histogram_quantiles(bins_, keys, lo, hi, bins)
     m = moments(F.col("n"), F.col("s"), F.col("s2"))
     out = whole.join(quantiles, keys, "left")
-    return out.select(*keys, "total", "n", "lo", "hi", *[c.alias(k) for k, c in m.items()], *[f"p{round(100 * q)}" for q in QUANTILES], (F.col("p75") - F.col("p25")).alias("iqr"), "valid_area", "total_area", "volume", (F.col("n") / F.col("total")).alias("coverage"), *[(F.col(hits(t)) / F.col("n")).alias(hits(t).replace("n_ge", "cover")) for t in thresholds])
+    return out.select(*keys, "total", "n", "lo", "hi", *[c.alias(k) for k, c in m.items()], *[f"p{round(100 * q)}" for q in QUANTILES], (F.col("p75") - F.col("p25")).alias("iqr"), "valid_area", "total_area", "volume", (F.col("n") / F.col("total")).alias("coverage"), *[F.try_divide(F.col(hits(t)), F.col("n")).alias(hits(t).replace("n_ge", "cover")) for t in thresholds])
 
 
 def weighted_histogram(pixels: DataFrame, keys: list[str], bins: int) -> DataFrame:
