@@ -17,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 DIMENSIONS = 512
 SEED = 7
 #: Labelled texts that a language's prototype bundles, about; chosen by a hash of doc_id and text.
 TRAIN_PER_LANG = 2000
 #: Trigram vectors that a task keeps.
 KEPT = 1 << 15
+#: Values of lang whose counts are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LANGS = 10_000
 UNKNOWN = "und"
 
 
@@ -118,7 +122,9 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Prototypes:
     rows are counted per lang over all the data, then taken by hash at the rate that gives so many).
     What reaches the driver is one vector a language."""
     own = docs.where("lang is not null and text is not null")
-    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = checkpoint(own.groupBy("lang").agg(F.count("*").alias("n")))
+    if counts.count() <= BROADCAST_LANGS:
+        counts = F.broadcast(counts)
     rate = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"))
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = own.join(counts, "lang").where(hashed < rate).select("lang", "text")
