@@ -148,9 +148,18 @@ def test_tiling_matches_brute_force():
         text = " ".join([*[rng.choice("abxy") for _ in range(9)], *words[cut:], "zz", *words[:cut], *[rng.choice("abcd") for _ in range(12)]])
         found = {i: (c, n) for _, i, c, n, _ in decontamination.Block([(7, item)]).matches([(1, text)])}
         coverage, tiles = brute_coverage(item, text)
-        assert (7 in found) == (coverage >= 0.8 - 1e-12)
+        assert (7 in found) == (coverage >= decontamination.THRESHOLD - 1e-12)
         if found:
-            assert abs(found[7][0] - coverage) < 0.35 and found[7][0] >= 0.8
+            assert abs(found[7][0] - coverage) < 0.35 and found[7][0] >= decontamination.THRESHOLD
+
+
+def test_reordered_sentences_are_caught():
+    rng = random.Random(0)
+    items = ["One two three four five six. Seven eight. Nine ten eleven twelve thirteen fourteen fifteen. Sixteen seventeen eighteen nineteen twenty more."]
+    for _ in range(20):
+        parts = re.findall(r"[^.]+\.", items[0])
+        rng.shuffle(parts)
+        assert list(decontamination.Block(list(enumerate(items))).matches([(1, "Before that. " + " Between. ".join(parts))]))
 
 
 def test_contamination(spark):

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of the shortest tile, and the share of an item's tokens that tiles must cover.
+#: Tokens of the shortest tile, and the share of an item's tokens that tiles must cover. Sentences
+#: shorter than a tile are lost when sentences change places, so less than the whole is asked for.
 MIN_TILE = 5
-THRESHOLD = 0.8
+THRESHOLD = 0.6
 #: Characters of item text in a block; a block is held by the driver and by each executor.
 BLOCK_CHARS = 16_000_000
 #: Characters of document text hashed at a time.
