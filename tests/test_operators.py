@@ -171,8 +171,8 @@ def test_legend(spark):
     parts = spark.createDataFrame([("b", "B", 1, "polygon", 0), ("b", "B", 1, "point", 1), ("a", "a", 1, "point", 0)], "id string, label string, legend_order int, kind string, part int")
     out = legend.layers(parts).orderBy("ord").collect()
     assert [(r.id, r.kind, r.in_legend) for r in out] == [("a", "point", True), ("b", "polygon", True), ("b", "point", False)]
-    styled = legend.styled(spark.sql("select cast(null as string) stroke, '#00ff00' fill, cast(null as double) stroke_width, 3D fill_opacity, cast(null as double) marker_size")).first()
-    assert (styled.stroke_width, styled.fill_opacity, styled.marker_size) == (2.0, 1.0, 8.0)
+    styled = legend.styled(spark.sql("select 'polygon' kind, cast(null as string) stroke, '#00ff00' fill, 'x' marker, cast(null as string) marker_outline, cast(null as string) label_color, cast(null as string) label_background, cast(null as double) stroke_width, 3D fill_opacity, cast(null as double) marker_size")).first()
+    assert (styled.stroke, styled.stroke_width, styled.fill_opacity, styled.marker_size, styled.problem) == ("#fff200", 2.0, 1.0, 8.0, "colour")
 
 
 def test_rate_limit_leaves_no_trace_of_rejections(spark):

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from zonalis.plans.queries import ORACLES, QUERIES
+from zonalis.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

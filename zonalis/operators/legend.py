@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 OVERLAY_SOURCE = "threat-map-overlay"
-#: Style of an overlay that names none.
-STYLE = {"stroke": "#ff0000", "fill": "#ff0000", "stroke_width": 2.0, "fill_opacity": 0.15, "marker_size": 8.0}
+#: Style of an overlay that names none; strokes and fills differ by kind.
+STROKE = {"polygon": "#fff200", "point": "#ff4e4e"}
+STYLE = {"marker": "#ff4e4e", "marker_outline": "#ffffff", "label_color": "#212730", "label_background": "#ffffff", "stroke_width": 2.0, "fill_opacity": 0.15, "marker_size": 8.0}
 
 
 def first_source(sources: list[DataFrame]) -> DataFrame:
@@ -62,13 +63,50 @@ def layers(overlays: DataFrame) -> DataFrame:
 
 
 def styled(overlays: DataFrame) -> DataFrame:
-    """Styles with their defaults; opacity between 0 and 1."""
-    out = overlays
-    for name, value in STYLE.items():
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
+    """Styles of overlays (kind, stroke, fill and the names of STYLE) with their defaults; opacity between
+    0 and 1; ``problem`` says whether a given colour does not parse."""
+    colours = ["stroke", "fill", "marker", "marker_outline", "label_color", "label_background"]
+    bad = F.lit(False)
+    for c in colours:
+        bad = bad | (F.col(c).isNotNull() & text.hex_colour(F.col(c)).isNull())
+    out = overlays.withColumn("problem", F.when(bad, "colour"))
+    default = F.when(F.col("kind") == "polygon", STROKE["polygon"]).otherwise(STROKE["point"])
+    for name, value in {"stroke": default, "fill": default, **{k: F.lit(v) for k, v in STYLE.items()}}.items():
+        out = out.withColumn(name, F.coalesce(F.col(name), value))
     return out.withColumn("fill_opacity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fill_opacity"))))
 
 
+def overlay_entries(overlays: DataFrame) -> DataFrame:
+    """Legend entries of overlay parts that show in the legend: code, label and colour, in order."""
+    point = F.col("kind") == "point"
+    shown = layers(overlays).where("in_legend")
+    return shown.select("ord", F.when(point, "PT").otherwise("OVL").alias("class_code"), "label", F.when(point, F.col("marker")).otherwise(F.col("stroke")).alias("color"))
+
+
+#: Limits and defaults of frames, with little memory and without.
+FRAME_SIZES = {True: {"any": 512}, False: {"balanced": 768, "high": 1024}}
+FRAME_MAX = {True: 512, False: 1024}
+FRAME_FPS = {True: 0.5, False: 0.67}
+FRAME_SECONDS = 1.5
+
+
+def frame_options(requests: DataFrame, low_memory: bool = True, allow_high: bool = False) -> DataFrame:
+    """width, height, fps and seconds of frame requests (payload_bytes, preset, width, height, fps, seconds,
+    null where not given) with defaults, and the first check that fails."""
+    most = FRAME_MAX[low_memory]
+    base = F.lit(512) if low_memory else F.when(F.col("preset") == "high", 1024).otherwise(768)
+    wide, high = F.coalesce("width", base), F.coalesce("height", base)
+    problem = F.coalesce(
+        F.when(F.col("payload_bytes") > 1_000_000, "payload"),
+        F.when(F.col("preset") == "ultra", "ultra"),
+        F.when(F.col("width") > 1024, "width"),
+        F.when(F.col("height") > 1024, "height"),
+        F.when((F.col("preset") == "high") & F.lit(not allow_high), "high"),
+        F.when((wide > most) | (high > most), "size"),
+    )
+    return requests.withColumns({"problem": problem, "width": wide, "height": high, "fps": F.coalesce("fps", F.lit(FRAME_FPS[low_memory])), "seconds": F.coalesce("seconds", F.lit(FRAME_SECONDS))})
+
+
 def normalised_thresholds(custom: Column, defaults: list[float], most: int = 10) -> Column:
     """struct(values, problem): positive, distinct, sorted; the defaults where none are given."""
     given = F.when(custom.isNull() | (F.size(custom) == 0), F.array(*map(F.lit, defaults))).otherwise(custom)
