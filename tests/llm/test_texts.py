@@ -94,6 +94,7 @@ def test_extract():
     assert html.extract("just text") == "just text"
     assert html.extract("<p>a<p>b</span></p>c") == "a\nb\nc"
     assert html.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert html.extract("<b>" * 40_000 + "</i>" * 40_000 + "x") == "x" and html.extract("<header>" * 30_000 + "y") == ""
     assert html.extract('<article><p>kept</p><a href="cut') == "kept"
     assert html.extract("<article><p>one<p>two" + "<b>" * 3000 + "three") == "one\ntwothree"
     assert [html.host_of(u) for u in (None, "", "http://a.B.c:80/x", "//u:p@h/x?y", "nothost/x")] == ["", "", "a.b.c", "h", ""] or html.host_of("nothost/x") == "nothost"

@@ -54,7 +54,7 @@ _ARTICLE = frozenset("article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "parts", "noise", "score", "links", "good")
+    __slots__ = ("tag", "label", "parent", "parts", "noise", "score", "links", "good", "within")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.parts, self.score, self.links = tag, parent, [], 0.0, 0
@@ -68,11 +68,8 @@ class Node:
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             if tag not in ("html", "body", "article", "main"):
                 self.noise |= hidden or found.get("role", "").lower() in _ROLES or bool(_NOISE.search(names))
-        if tag == "header":  # the page's header goes; an article's own holds its title
-            up = parent
-            while up is not None and up.tag not in _ARTICLE:
-                up = up.parent
-            self.noise |= up is None
+        self.within = tag in _ARTICLE or parent is not None and parent.within
+        self.noise |= tag == "header" and not self.within  # an article's own header holds its title
 
     def path(self) -> str:
         labels, node = [], self
@@ -86,6 +83,7 @@ def parse(page: str) -> Node:
     """A lenient tree: unclosed elements end with their parent, stray end tags are skipped, a
     truncated tag or comment ends the page."""
     root = node = Node("", None)
+    seen: set[str] = set()
     at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
@@ -100,11 +98,15 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
+            if tag not in seen:
+                continue
             up = node
             while up is not None and up.tag != tag:
                 up = up.parent
             if up is not None and up.parent is not None:
                 node = up.parent
+            else:
+                seen.discard(tag)  # none is open: later ones are not looked for
             continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -136,6 +138,7 @@ def parse(page: str) -> Node:
         node.parts.append(child)
         if tag not in _VOID and not (m[3] or "").rstrip().endswith("/"):
             node = child
+            seen.add(tag)
     return root
 
 
