@@ -141,7 +141,7 @@ def test_tile_pixels_and_union(spark):
     area = api.aoi(spark, square(20))
     z, n = 10, 512
     grid = spark.range(4 * 256 * 256).select(F.lit(z).alias("z"), (F.floor(F.col("id") / 131072) + n - 1).cast("int").alias("x"), (F.floor(F.col("id") / 65536) % 2 + n - 1).cast("int").alias("y"), (F.floor(F.col("id") / 256) % 256).cast("int").alias("row"), (F.col("id") % 256).cast("int").alias("col"))
-    inside = api.tile_pixels(grid, area).count()
+    inside = api.tile_pixels(grid, area, z).count()
     size = geo.CIRCUMFERENCE / 1024 / 256
     assert inside == round(20_000 / size / 2) ** 2 * 4 or abs(inside - (20_000 / size) ** 2) < 4 * 20_000 / size
 

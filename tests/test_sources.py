@@ -214,7 +214,7 @@ def test_canopy_from_archive(spark, tmp_path):
     area = api.aoi(spark, {"type": "Polygon", "coordinates": [[[-0.05, -0.05], [0.05, -0.05], [0.05, 0.05], [-0.05, 0.05], [-0.05, -0.05]]]})
     raw = spark.read.format("pmtiles").option("path", path).load()
     decoded = tiles.decode_tiles(raw, ["z", "x", "y"], "height").withColumn("valid", decode.value_valid(F.col("bands"), F.col("b1"), F.col("b3"))).withColumn("area", F.lit((40075016.685578488 / 1024 / 256) ** 2 / 10_000))
-    out = api.canopy_stats(api.tile_pixels(decoded, area), aoi_area_ha=area.area_ha)
+    out = api.canopy_stats(api.tile_pixels(decoded, area, 10), aoi_area_ha=area.area_ha)
     assert out["meanHeightM"] == pytest.approx(10.0, abs=1e-4) and out["coverageFraction"] == 1.0
     assert out["analyzedAreaHa"] == pytest.approx(area.area_ha, rel=0.04)
 

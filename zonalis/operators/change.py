@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Classes that count as forest unless others are configured.
@@ -19,13 +19,18 @@ def two_years(base: DataFrame, comp: DataFrame, tile: list[str], cell: list[str]
     """Pixels of both years: tile, cell, base, comp (each a struct of the other columns; null where the
     year has no such pixel) and both_tiles, whether both years have the tile at all.
 
-    One shuffle of either side on tile and cell; the tiles of a year are a distinct of its keys.
+    One shuffle, by tile: the years' rows are dealt together, and both the pairing of cells and the
+    tile's presence are worked out where they arrive. A tile is a bounded number of pixels.
     """
     keys = [*tile, *cell]
-    pack = lambda df, name: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
-    joined = pack(base, "base").join(pack(comp, "comp"), keys, "full")
-    present = base.select(*tile).distinct().withColumn("_b", F.lit(True)).join(comp.select(*tile).distinct().withColumn("_c", F.lit(True)), tile, "full")
-    return joined.join(present, tile).withColumn("both_tiles", F.coalesce(F.col("_b") & F.col("_c"), F.lit(False))).drop("_b", "_c")
+    packs = {name: F.struct(*[c for c in df.columns if c not in keys]) for name, df in (("base", base), ("comp", comp))}
+    types = {name: df.select(packs[name].alias("s")).schema["s"].dataType for name, df in (("base", base), ("comp", comp))}
+    one = base.select(*keys, packs["base"].alias("base"), F.lit(None).cast(types["comp"]).alias("comp"))
+    other = comp.select(*keys, F.lit(None).cast(types["base"]).alias("base"), packs["comp"].alias("comp"))
+    paired = one.unionByName(other).repartition(*tile).groupBy(*keys).agg(F.first("base", ignorenulls=True).alias("base"), F.first("comp", ignorenulls=True).alias("comp"))
+    whole = Window.partitionBy(*tile)
+    has = lambda c: F.bool_or(F.col(c).isNotNull()).over(whole)
+    return paired.withColumn("both_tiles", has("base") & has("comp"))
 
 
 def forest_change(pixels: DataFrame, keys: list[str], base: Column, comp: Column, valid: Column, area: Column | None = None) -> DataFrame:

@@ -107,19 +107,13 @@ def range_cover(cover: DataFrame, partials: DataFrame, keys: list[str]) -> DataF
 def zonal_summary(pixels: DataFrame, keys: list[str], thresholds: tuple[float, ...] = (5, 10, 20), lo: float = 0.0, hi: float = 120.0, bins: int = 512) -> DataFrame:
     """One row a zone: counts, extremes, moments, histogram quantiles, covers, areas and volume.
 
-    The pixels are read once: they are counted by value and area first, and everything else comes
-    from those counts.
+    The pixels are read once and aggregated by zone and bin, so that no more than bins + 1 rows a zone
+    and task are shuffled whatever the values are; everything else comes from those rows.
     """
-    counted = pixels.groupBy(*keys, "v", "valid", "area").agg(F.count("*").alias("c"))
-    c, v, ok = F.col("c"), F.col("v"), F.col("valid")
-    on = lambda x: F.coalesce(F.sum(F.when(ok, x)), F.lit(0))
-    whole = counted.groupBy(*keys).agg(
-        F.sum("c").alias("total"), on(c).alias("n"), on(c * v).alias("s"), on(c * v * v).alias("s2"), F.min(F.when(ok, v)).alias("lo"), F.max(F.when(ok, v)).alias("hi"),
-        on(c * F.col("area")).alias("valid_area"), F.sum(c * F.col("area")).alias("total_area"), on(c * v * F.col("area")).alias("volume"),
-        *[F.coalesce(F.sum(F.when(ok & (v >= t), c)), F.lit(0)).alias(hits(t)) for t in thresholds],
-    )
-    bins_ = counted.where("valid").withColumn("bin", hist.bin_index(v, lo, hi, bins)).where("bin is not null").groupBy(*keys, "bin").agg(F.sum("c").alias("n"))
-    quantiles = histogram_quantiles(bins_, keys, lo, hi, bins)
+    bin_ = F.when(F.col("valid"), hist.bin_index(F.col("v"), lo, hi, bins))
+    parts = tile_partials(pixels.withColumn("bin", bin_), [*keys, "bin"], thresholds)
+    whole = merge_partials(parts, keys)
+    quantiles = histogram_quantiles(parts.where("bin is not null").select(*keys, "bin", "n"), keys, lo, hi, bins)
     m = moments(F.col("n"), F.col("s"), F.col("s2"))
     out = whole.join(quantiles, keys, "left")
     return out.select(*keys, "total", "n", "lo", "hi", *[c.alias(k) for k, c in m.items()], *[f"p{round(100 * q)}" for q in QUANTILES], (F.col("p75") - F.col("p25")).alias("iqr"), "valid_area", "total_area", "volume", (F.col("n") / F.col("total")).alias("coverage"), *[F.try_divide(F.col(hits(t)), F.col("n")).alias(hits(t).replace("n_ge", "cover")) for t in thresholds])

@@ -98,23 +98,26 @@ def aoi(spark: SparkSession, geojson: dict | str, settings: Settings = Settings(
     return Aoi(vertices, metres, area_ha, (box.west, box.south, box.east, box.north))
 
 
-def tile_pixels(pixels: DataFrame, area: Aoi, tile_size: int = 256) -> DataFrame:
-    """Pixels (z, x, y, row, col, ...) whose centre is inside the area. The area's scanlines on a tile's
-    grid are made for the tiles of its bounding box only, and join on tile and row."""
-    tiles_ = pixels.select("z", "x", "y").distinct()
-    b = geo.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
-    size = geo.tile_side(F.col("z")) / tile_size
-    box = area.edges.agg(F.min(F.least("x1", "x2")).alias("bx0"), F.max(F.greatest("x1", "x2")).alias("bx1"), F.min(F.least("y1", "y2")).alias("by0"), F.max(F.greatest("y1", "y2")).alias("by1")).first()
-    near = tiles_.where((b["left"] < box.bx1) & (b["right"] > box.bx0) & (b["bottom"] < box.by1) & (b["top"] > box.by0))
-    keyed = near.join(F.broadcast(area.edges))  # edges: 50 000 at most, checked by aoi()
-    local = keyed.select(
-        F.concat_ws("/", "z", "x", "y", "id", "part").alias("id"), F.lit(0).alias("part"), "ring",
-        ((F.col("x1") - b["left"]) / size).alias("x1"), ((b["top"] - F.col("y1")) / size).alias("y1"), ((F.col("x2") - b["left"]) / size).alias("x2"), ((b["top"] - F.col("y2")) / size).alias("y2"),
+def tile_pixels(pixels: DataFrame, area: Aoi, zoom: int, tile_size: int = 256) -> DataFrame:
+    """Pixels (z, x, y, row, col, ...) of a zoom whose centre is inside the area.
+
+    The area's scanlines are made once on the zoom's whole pixel grid and cut at tile edges, and join on
+    tile and row. The bounding box becomes a filter on z, x and y, which the tile source takes.
+    """
+    size = geo.CIRCUMFERENCE / 2**zoom / tile_size
+    side = tile_size << zoom
+    grid = area.edges.withColumn("id", F.col("part"))
+    spans = polygon.scanlines(polygon.to_grid(grid, -geo.CIRCUMFERENCE / 2, geo.CIRCUMFERENCE / 2, size, size), side, side)
+    cut = spans.withColumn("x", F.explode(F.sequence(F.floor(F.col("c0") / tile_size).cast("int"), F.floor((F.col("c1") - 1) / tile_size).cast("int"))))
+    local = cut.select(
+        "x", F.floor(F.col("row") / tile_size).cast("int").alias("y"), (F.col("row") % tile_size).alias("row"),
+        F.greatest(F.lit(0), F.col("c0") - F.col("x") * tile_size).alias("c0"), F.least(F.lit(tile_size), F.col("c1") - F.col("x") * tile_size).alias("c1"),
     )
-    spans = polygon.scanlines(local, tile_size, tile_size)
-    parts = F.split("id", "/")
-    gathered = spans.select(F.get(parts, F.lit(0)).cast("int").alias("z"), F.get(parts, F.lit(1)).cast("int").alias("x"), F.get(parts, F.lit(2)).cast("int").alias("y"), "row", "c0", "c1").groupBy("z", "x", "y", "row").agg(F.collect_list(F.struct("c0", "c1")).alias("_spans"))
-    return pixels.join(gathered, ["z", "x", "y", "row"]).where(F.exists("_spans", lambda s: (F.col("col") >= s["c0"]) & (F.col("col") < s["c1"]))).drop("_spans")
+    gathered = local.groupBy("x", "y", "row").agg(F.collect_list(F.struct("c0", "c1")).alias("_spans"))
+    box = area.edges.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
+    first = lambda v: max(0, min((1 << zoom) - 1, math.floor((v + geo.CIRCUMFERENCE / 2) / size / tile_size)))
+    near = pixels.where((F.col("z") == zoom) & (F.col("x") >= first(box[0])) & (F.col("x") <= first(box[1])) & (F.col("y") >= first(-box[3])) & (F.col("y") <= first(-box[2])))
+    return near.join(gathered, ["x", "y", "row"]).where(F.exists("_spans", lambda s: (F.col("col") >= s["c0"]) & (F.col("col") < s["c1"]))).drop("_spans")
 
 
 def _n(x, digits: int = 4):

@@ -119,7 +119,7 @@ def a10_threshold_cover(spark, sf):
 
 
 @query(
-    f"""with {R.CELLS}, r as (select * from (values (null, 5.0::double, '<5m'), (5.0, 10.0, '5-10m'), (10.0, 20.0, '10-20m'), (20.0, null, '>=20m')) t(lower, upper, label))
+    f"""with {R.CELLS}, r as (select * from (values (null::double, 5.0::double, '<5m'), (5.0, 10.0, '5-10m'), (10.0, 20.0, '10-20m'), (20.0, null, '>=20m')) t(lower, upper, label))
 select zone, lower, upper, label, count_if(valid and (lower is null or v >= lower) and (upper is null or v < upper)) hits from pixels, r group by all"""
 )
 def a11_range_cover(spark, sf):
