@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from zonalis.functions import decode
 from zonalis.operators import tiles
 from zonalis.plans import api
-from zonalis.sources import frames, geotiff, legends, pmtiles, png, ranges
+from zonalis.sources import frames, geotiff, legends, pmtiles, png, ranges, register
 from zonalis.streaming import limits
 
 RNG = np.random.default_rng(0)
@@ -93,8 +93,7 @@ def test_ranges(tmp_path):
 
 def test_pmtiles_source(spark, archive):
     path, images = archive
-    spark.dataSource.register(pmtiles.PMTilesSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    register(spark)
     rows = spark.read.format("pmtiles").option("path", path).option("tiles_per_task", 2).load()
     assert rows.count() == 12 * 64
     one = rows.where("z = 3 and x = 2 and y = 1 and row = 4").orderBy("col").collect()
@@ -143,8 +142,7 @@ def test_geotiff_source(spark, tmp_path):
     values = np.arange(70 * 90, dtype=np.int16).reshape(70, 90)
     path = str(tmp_path / "s.tif")
     geotiff.export(spark.createDataFrame([(r, c, float(values[r, c])) for r in range(70) for c in range(90)], "row int, col int, v double"), path, GRID, "int16", block=32)
-    spark.dataSource.register(geotiff.GeoTIFFSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    register(spark)
     rows = spark.read.format("geotiff").option("path", path).load()
     assert rows.count() == 6300 and rows.agg(F.sum("value")).first()[0] == values.sum()
     some = rows.where("row >= 60 and row < 64 and col = 5").orderBy("row").collect()
@@ -210,7 +208,7 @@ def test_canopy_from_archive(spark, tmp_path):
     image[:, :, 0] = 25
     path = str(tmp_path / "h.pmtiles")
     pmtiles.write(path, {(10, x, y): png.encode(image) for x in (511, 512) for y in (511, 512)})
-    spark.dataSource.register(pmtiles.PMTilesSource)
+    register(spark)
     area = api.aoi(spark, {"type": "Polygon", "coordinates": [[[-0.05, -0.05], [0.05, -0.05], [0.05, 0.05], [-0.05, 0.05], [-0.05, -0.05]]]})
     raw = spark.read.format("pmtiles").option("path", path).load()
     decoded = tiles.decode_tiles(raw, ["z", "x", "y"], "height").withColumn("valid", decode.value_valid(F.col("bands"), F.col("b1"), F.col("b3"))).withColumn("area", F.lit((40075016.685578488 / 1024 / 256) ** 2 / 10_000))
