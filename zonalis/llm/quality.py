@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words_sql
+from .common import let, packed, unpacked, words_sql
 
 #: A document may lose at most this share of its word characters.
 MAX_LOST = 0.3
@@ -71,20 +71,13 @@ def _repeat_words_sql(words: str) -> str:
     return let("h_", hashes, f"case when size(array_distinct(h_)) = size(h_) then 0L else {slow} end")
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """Add ``q``: a struct with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept and clean_text (the lines that stay, joined by newline) to every row; other columns stay.
-
-    Null and empty texts have no words and fail the base rules; repeated rows are judged alike and
-    each stays; an empty table gives an empty table; the only column that is read is ``text``, and a
-    column named ``q`` is replaced. Whole texts of any length are judged.
-    """
+def _verdict_sql() -> str:
+    """SQL struct of all counts, the verdict and the clean text; evaluated once a row."""
     text = "coalesce(text, '')"
-    lines = f"split({text}, '\\n')"
     worded = "filter(l_, x_ -> translate(x_, ' \\u0009\\u000a\\u000b\\u000c\\u000d', '') <> '')"
     chars = "length(translate({}, ' \\u0009\\u000a\\u000b\\u000c\\u000d', ''))"
     stay = f"filter(l_, x_ -> not {line_fails_sql('x_')})"
-    inner = let(
+    counts = let(
         "w_all",
         words_sql("text"),
         "named_struct("
@@ -95,13 +88,31 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         f"'n_repeat_words', {_repeat_words_sql('w_all')}, "
         f"'clean_text', array_join({stay}, '\\n'))",
     )
-    q = F.expr(let("l_", lines, inner))
-    failed = "q.n_words < 50 or 100 * q.n_repeat_words > 50 * q.n_words"
-    lost = f"(q.word_chars - {chars.format('q.clean_text')})"
-    return docs.withColumn("q", q).withColumn("q", F.expr(f"named_struct('n_words', q.n_words, 'word_chars', q.word_chars, 'n_symbols', q.n_symbols, 'n_dup_lines', q.n_dup_lines, 'n_repeat_words', q.n_repeat_words, 'base_failed', {failed}, 'kept', not ({failed}) and 10 * {lost} <= {round(10 * MAX_LOST)} * q.word_chars, 'clean_text', q.clean_text)"))
+    fields = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
+    failed = "k_.n_words < 50 or 100 * k_.n_repeat_words > 50 * k_.n_words"
+    lost = f"(k_.word_chars - {chars.format('k_.clean_text')})"
+    verdict = f"named_struct({', '.join(f'{chr(39)}{f}{chr(39)}, k_.{f}' for f in fields)}, 'base_failed', {failed}, 'kept', not ({failed}) and 10 * {lost} <= {round(10 * MAX_LOST)} * k_.word_chars, 'clean_text', k_.clean_text)"
+    return let("l_", f"split({text}, '\\n')", let("k_", counts, verdict))
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """Add ``q``: a struct with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    kept and clean_text (the lines that stay, joined by newline) to every row; other columns stay.
+
+    Null and empty texts have no words and fail the base rules; repeated rows are judged alike and
+    each stays; an empty table gives an empty table; the only column that is read is ``text``, and a
+    column named ``q`` is replaced. Whole texts of any length are judged.
+    """
+    return docs.withColumn("q", F.expr(_verdict_sql()))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the text that stays and its n_chars, in the columns they came with."""
-    q = quality_rules(docs).where("q.kept")
-    return q.select(*[F.col("q.clean_text").alias("text") if c == "text" else F.length("q.clean_text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns if c != "q"])
+    """The documents that pass, with the text that stays and its n_chars, in the columns they came with.
+
+    The verdict is exploded from an array that is empty for a rejected document: a filter on it would be
+    pushed below the projection and judge every document twice.
+    """
+    own = packed(docs, text=F.col("text"))
+    kept = own.select("row", F.explode(F.filter(F.array(F.expr(_verdict_sql())), lambda q: q["kept"])).alias("q"))
+    new = {"text": F.col("q.clean_text"), "n_chars": F.length("q.clean_text").cast("bigint")}
+    return unpacked(kept, docs.columns, **{c: new[c] for c in new if c in docs.columns})
