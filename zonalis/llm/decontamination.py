@@ -178,8 +178,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item. Rows without a doc_id are compared by their text."""
-    key = F.xxhash64("text")
-    marked = docs.select(key.alias("doc_id"), "text").where("text is not null")
-    bad = contamination(marked, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, key == bad._bad, "left_anti")
+    """The documents that hold no item, as they came. A document is judged where it lies: nothing is
+    shuffled, and rows without a doc_id are judged by their text like any other."""
+    context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
+    for part in _blocks(benchmark):
+        block = context.broadcast(Block([tuple(r) for r in part.collect()]))
+
+        def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                held, some, size = set(), [], 0
+                for i, text in enumerate(b.column(at).to_pylist()):
+                    some.append((i, text or ""))
+                    size += len(text or "")
+                    if size > CHUNK_CHARS:
+                        held.update(x[0] for x in block.value.matches(some))
+                        some, size = [], 0
+                held.update(x[0] for x in block.value.matches(some))
+                yield b.filter(pa.array([i not in held for i in range(b.num_rows)], pa.bool_())) if held else b
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
