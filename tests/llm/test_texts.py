@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonalis.llm import chat, html, langid, pii, queries, tokencount
+from zonalis.llm import chat, html, langid, oracles, pii, queries, tokencount
 
 from . import helpers
 
@@ -66,6 +66,16 @@ def test_pii_digests(spark):
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def test_pii_digests_match_sql(spark):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(duck.execute(oracles.base_pii_sql()).fetchall())
+    got = sorted((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in queries.op4_personal_data(spark, SF).collect())
+    assert got == want and any(sum(r[1:5]) for r in got)
+
+
 def test_pii_model_selects(spark):
     texts = ["please call (017) 555-7713 today", "see order 555-123-4567 for it", "write to jane (at) example (dot) com", "login from host 10[.]0[.]0[.]7 twice", "we met at home dot dot", "visa card 4111.1111.1111.1111 used"]
     out = pii.find_pii(helpers.frame(spark, [(i, t, *NONE) for i, t in enumerate(texts)])).orderBy("doc_id").collect()

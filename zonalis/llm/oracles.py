@@ -65,7 +65,8 @@ select doc_id, cast(count(*) as bigint) n_lines, cast(count_if(gone) as bigint)
   sha256(coalesce(string_agg(line, chr(10) order by p) filter (not gone), '')) kept_sha256 from m group by doc_id"""
 
 
-def _op4() -> str:
+def base_pii_sql() -> str:
+    """The base columns of op4; the spans that its model adds are not SQL, so tests use this."""
     return r"""
 with d as (select doc_id, coalesce(text, '') t from documents),
 p as (
