@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Fixed value: what a feature's ``source`` says if it is an overlay.
 OVERLAY_SOURCE = "threat-map-overlay"
 #: Style of an overlay that names none; strokes and fills differ by kind.
 STROKE = {"polygon": "#fff200", "point": "#ff4e4e"}
