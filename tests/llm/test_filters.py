@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonalis.llm import decontamination, linededup, mixing, quality, simhash
+from zonalis.llm import decontamination, linededup, mixing, neardup, quality, simhash
 
 from . import helpers
 
@@ -115,6 +115,36 @@ def test_components_of_long_chains(spark):
     assert all(roots[i] == 0 for i in range(1, 201)) and all(roots[i] == 1000 for i in range(1001, 1300))
 
 
+def near_copies(texts):
+    """Pairs of texts with a five-word similarity of 0.8 or more, all pairs compared."""
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 5 * len(a & b) >= 4 * len(a | b)}
+
+
+@pytest.mark.parametrize("chunk", [neardup.CHUNK, 300])
+def test_near_dedup_links_similar_texts(spark, monkeypatch, chunk):
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(150)) for _ in range(15)]
+    for t in list(texts):
+        for edits in (0, 1, 2, 3, 4, 6):
+            words = t.split()
+            for at in rng.sample(range(len(words)), edits):
+                words[at] = "new"
+            texts.append(" ".join(words))
+    pairs = near_copies(texts)
+    least = list(range(len(texts)))
+    while (now := [min([least[i], *(least[a + b - i] for a, b in pairs if i in (a, b))]) for i in range(len(texts))]) != least:
+        least = now
+    out = neardup.keep_one(helpers.frame(spark, [(i, t, *[None] * 7) for i, t in enumerate(texts)])).collect()
+    assert sorted(r.doc_id for r in out) == sorted(set(least)) and len(out) < len(texts) - 45
+    assert any(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b]) for a, b in pairs)
+    assert neardup.keep_one(helpers.frame(spark, [])).count() == 0
+
+
 def brute_coverage(item, text, k=5):
     """Greedy tiling, written plainly."""
     a, b = decontamination.tokens(item), decontamination.tokens(text)

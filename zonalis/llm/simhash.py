@@ -92,12 +92,3 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     names = checkpoint(rooted.join(firsts, "root").select("fp", "component_id"))
     return own.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the least doc_id. Rows without a doc_id, which no
-    group can name, stay. Columns as they came."""
-    firsts = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    own = docs.where("doc_id is not null")
-    kept = own.join(firsts, own.doc_id == firsts._first, "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
