@@ -64,6 +64,18 @@ def test_line_dedup_matches_brute_force(spark):
     assert got == sorted(helpers.line_dedup(pairs(spark), 3))
 
 
+def test_near_stage_keeps_one_of_each_long_line(spark):
+    import corpus_pipeline
+
+    long, short = " ".join(f"p{i}" for i in range(51)), " ".join(f"q{i}" for i in range(50))
+    own = [" ".join(f"own{i}x{j}" for j in range(90)) for i in range(5)]
+    texts = [f"{own[0]}\n{long}", f" {long.upper()}\t\n{own[1]}\n{short}", f"{own[2]}\n{short}\n{own[2]} {long}", f"{own[3]}\n{long}\n{long}", own[4], own[4]]
+    docs = helpers.frame(spark, [(i, t, *[None] * 7) for i, t in enumerate(texts)])
+    out = corpus_pipeline.near_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {0: texts[0], 1: f"{own[1]}\n{short}", 2: texts[2], 3: own[3], 4: own[4]}
+
+
 def test_keep_bits_rebuild_the_text(spark):
     for r in linededup.line_dedup(helpers.frame(spark)).where("keep_bits is not null").collect():
         lines = r.text.split("\n")
@@ -145,6 +157,28 @@ def test_near_dedup_links_similar_texts(spark, monkeypatch, chunk):
     assert neardup.keep_one(helpers.frame(spark, [])).count() == 0
 
 
+def test_near_stage_matches_brute_force(spark):
+    import corpus_pipeline
+
+    docs = corpus_pipeline.line_stage(spark, corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), SF).localCheckpoint()
+    texts = dict(sorted((r.doc_id, r.text) for r in docs.collect()))
+    ids, pairs = list(texts), near_copies(texts.values())
+    least = list(range(len(ids)))
+    while (now := [min([least[i], *(least[a + b - i] for a, b in pairs if i in (a, b))]) for i in range(len(ids))]) != least:
+        least = now
+    kept = {ids[i]: texts[ids[i]] for i in set(least)}
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(list)
+    for d in sorted(kept):
+        for p, x in enumerate(kept[d].split("\n")):
+            if len(helpers.WORDS.findall(x)) > 50:
+                holders[key(x)].append((d, p))
+    gone = {at for v in holders.values() if len({d for d, _ in v}) > 1 for at in v[1:]}
+    want = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in gone) for d, t in kept.items()}
+    assert len(kept) < len(texts) and gone
+    assert {r.doc_id: r.text for r in corpus_pipeline.near_stage(spark, docs, SF).collect()} == want
+
+
 def brute_coverage(item, text, k=5):
     """Greedy tiling, written plainly."""
     a, b = decontamination.tokens(item), decontamination.tokens(text)

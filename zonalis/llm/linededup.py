@@ -16,6 +16,8 @@ from .common import WS, ascii_lower, checkpoint, let, packed, partitions, unpack
 
 SLICES = 64
 MIN_DOCS = 10
+#: Lines of more words than this are passages, which the pipeline keeps in one document only.
+LONG_WORDS, LONG_DOCS = 50, 2
 
 
 def _lines():
@@ -26,11 +28,13 @@ def _identity(docs: DataFrame) -> list:
     return [F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t")]
 
 
-def line_runs(docs: DataFrame) -> DataFrame:
-    """A row for each non-empty line: hash (_a, _b), slice _s, document (_d, _t), place _p, and whether
-    it is its document's first line of that hash (_first); dealt by range and sorted."""
+def line_runs(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """A row for each line of ``min_words`` words or more: hash (_a, _b), slice _s, document (_d, _t),
+    place _p, and whether it is its document's first line of that hash (_first); dealt by range and sorted."""
     key = ascii_lower(F.btrim(F.col("_line"), F.lit(WS)))
     rows = docs.select(*_identity(docs), F.posexplode(_lines()).alias("_p", "_line")).withColumn("_key", key).where("_key <> ''")
+    if min_words > 1:
+        rows = rows.where(F.rlike("_key", F.lit(f"^(?:[^{WS}]++[{WS}]++){{{min_words - 1}}}[^{WS}]")))
     rows = rows.select(F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit("line"), F.col("_key")).alias("_b"), F.pmod(F.xxhash64("_d", "_t"), F.lit(SLICES)).cast("int").alias("_s"), "_d", "_t", "_p")
     run = Window.partitionBy("_a", "_b", "_s").orderBy("_d", "_t", "_p")
     ranged = rows.repartitionByRange(partitions(docs.sparkSession), "_a", "_b", "_s").sortWithinPartitions("_a", "_b", "_s", "_d", "_t", "_p")
@@ -38,13 +42,13 @@ def line_runs(docs: DataFrame) -> DataFrame:
     return ranged.withColumn("_first", before.isNull() | ~before.eqNullSafe(F.struct("_d", "_t")))
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, min_words: int = 1) -> DataFrame:
     """For each document that loses lines: (_d, _t), the sorted places it loses (_gone).
 
     A line goes if its key is found in ``min_docs`` documents or more; with ``keep_first`` its first
-    occurrence by document and place stays.
+    occurrence by document and place stays. Lines of fewer than ``min_words`` words stay.
     """
-    runs = checkpoint(line_runs(docs))
+    runs = checkpoint(line_runs(docs, min_words))
     here = runs.where("_first").groupBy("_a", "_b", "_s").agg(F.count("*").alias("_n"), F.min(F.struct("_d", "_t", "_p")).alias("_at"))
     common = here.groupBy("_a", "_b").agg(F.sum("_n").alias("_docs"), F.min("_at").alias("_start")).where(F.col("_docs") >= min_docs).drop("_docs")
     marks = here.select("_a", "_b", "_s").join(common, ["_a", "_b"])
@@ -62,7 +66,7 @@ KEEP_RUNS = let(
 )
 
 
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, min_words: int = 1) -> DataFrame:
     """Add n_lines, n_dropped, kept_text and keep_bits (array of kept runs; null: all kept) to each row.
 
     A null or empty text is one empty line, which always stays, as do lines of white space. A
@@ -70,7 +74,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = Fal
     rows with a null doc_id are told apart by their text. An empty table gives an empty table; other
     columns stay, but for those of the new names. Whole texts of any length are split.
     """
-    bitmaps = keep_bitmaps(docs, min_docs, keep_first)
+    bitmaps = keep_bitmaps(docs, min_docs, keep_first, min_words)
     own = packed(docs, text=F.coalesce(F.col("text"), F.lit("")), d=F.col("doc_id"), t=F.xxhash64("text"))
     both = own.join(bitmaps, own.d.eqNullSafe(bitmaps._d) & (own.t == bitmaps._t), "left")
     kept = F.expr("case when _gone is null then text else " + let("l_", "split(text, '\\n', -1)", "array_join(flatten(transform(_bits, r_ -> slice(l_, r_.start + 1, r_.len))), '\\n')") + " end")
@@ -78,10 +82,17 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = Fal
     return unpacked(both, docs.columns, n_lines=n_lines, n_dropped=F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"), kept_text=kept, keep_bits=F.col("_bits"))
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
-    """Documents without the later occurrences of lines found in ``MIN_DOCS`` documents or more; the
+def dedup_documents(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = 1) -> DataFrame:
+    """Documents without the later occurrences of lines found in ``min_docs`` documents or more; the
     first occurrence stays, so that no passage is lost from the corpus. Columns as they came."""
     own = packed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
-    out = line_dedup(own, keep_first=True)
+    out = line_dedup(own, min_docs, keep_first=True, min_words=min_words)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
     return unpacked(out, docs.columns, **{c: new[c] for c in new if c in docs.columns})
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """Documents without the later occurrences of lines of over ``LONG_WORDS`` words found in
+    ``LONG_DOCS`` documents or more. For documents without copies: between whole copies, lines that
+    go would hide the likeness of the rest."""
+    return dedup_documents(docs, LONG_DOCS, LONG_WORDS + 1)
