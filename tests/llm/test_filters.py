@@ -157,6 +157,17 @@ def test_near_dedup_links_similar_texts(spark, monkeypatch, chunk):
     assert neardup.keep_one(helpers.frame(spark, [])).count() == 0
 
 
+def test_near_dedup_of_shared_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    data = [(1, a), (1, b), (1, b), (2, b), (None, a), (None, c), (None, c + " end"), (None, d), (3, d), (4, None), (None, "")]
+    docs = helpers.frame(spark, [(i, t, *[None] * 7) for i, t in data])
+    out = neardup.keep_one(docs)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    ends = [x for x in got if x in {(None, c), (None, c + " end")}]
+    assert len(ends) == 1 and got == Counter({x: 1 for x in [(1, a), (1, b), (3, d), (4, None), ends[0]]})
+
+
 def test_near_stage_matches_brute_force(spark):
     import corpus_pipeline
 
