@@ -88,6 +88,20 @@ def test_pii_model_selects(spark):
     assert tp / sum(got.values()) >= 0.97 and tp / sum(y for _, y in held) >= 0.8
 
 
+def test_pii_proposals_are_wide(spark):
+    spans = {
+        "jane@example(dot)com": 0, "jane@example[dot]com": 0, "jane @ example.com": 0, "jane at example.com": 0, "fe80::1ff:fe23:4567": 1, "2001:db8::1": 1,
+        "3782.822463.10005": 2, "3782_822463_10005": 2, "06 12 34 56 78": 3, "0612345678": 3, "555-1234567": 3,
+    }
+    before = ["write to ", "server ", "visa card ", "please call "]
+    texts = [f"some words, {before[k]}{x} today" for x, k in spans.items()]
+    out = pii.find_pii(helpers.frame(spark, [(i, t, *NONE) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    found = [pii.redact(t, [tuple(s) for s in r.spans]) for t, r in zip(texts, out, strict=True)]
+    assert found == [f"some words, {before[k]}[{pii.KINDS[k]}] today" for k in spans.values()]
+    clean = ["he looked at home. Then he left", "in std::vector or a :: b", "on 2024-01-15 we met", "order 0612345678 came", "number 1234567890123456 is plain"]
+    assert not any(r.spans for r in pii.find_pii(helpers.frame(spark, [(i, t, *NONE) for i, t in enumerate(clean)])).collect())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{x}</style><script>var a="<p>no</p>";</script></head><body class="c7">
 <header><h1>Site</h1><a href="/">Home</a></header><nav><ul><li><a href="a>b">Menu</a></ul></nav><div class="cookie-notice">We use cookies, a lot of them, more than you would think.</div>
 <article><h1>Head &amp; line</h1><p>First   para&nbsp;graph <b>bold<br>more<p>Second &eacute;&#233; with <a href=x>link</a>.<ul><li>one<li>two</ul><div class="ad-slot">Buy now</div><form><input><p>Sign up</p></form>
