@@ -1,114 +1,236 @@
-"""Token counts by a transducer that is compiled while it reads.
-
-The tokenizer escapes a space into its space mark, merges never cross from another character to a
-mark, and a newline is no part of a merge. So a text is a row of units: spaces and what follows up
-to the next space or newline. The transducer has a state between units and states inside one; a
-transition that ends a unit carries the number of tokens that the unit emits. Transitions are
-compiled when first met, by the library, and kept; a full table is dropped and compiled anew.
-
-Long texts are read in chunks. What a chunk does to any state is a map: the characters before its
-first boundary, the count between its boundaries, and the characters after the last. Maps compose
-associatively, and a balanced prefix scan composes them.
+"""Token counts by a deterministic transducer compiled from a tokenizer's merges.
+
+A byte-pair encoding is valid when each two neighbours are what their joined text encodes to. So the
+last token of a prefix's encoding is the one piece that ends there and stands well after the last
+token of the shorter prefix where it starts. A state holds what later characters can depend on: the
+longest suffix that still begins a piece, and, for every place in it where a piece may begin, the last
+token there and how many tokens fewer that prefix has. A transition carries how many tokens its
+character adds to the encoding of what was read (merges make it zero or negative). Where no piece
+holds two neighbouring characters, nothing before matters: the transition resets. States and
+transitions are determinised from the merges when first met, and kept up to a limit.
+
+Texts are read in chunks. What a chunk does is a map from the state before it to the state after it and
+a count: an action on the state up to the first reset, and constants from there. Maps compose
+associatively, and a balanced scan composes them. A chunk is itself cut at spaces that reset: the map of
+such a word is one number, and the numbers of words that were met are kept.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
-#: Compiled transitions that a task keeps.
-TRANSITIONS = 1_000_000
+CHUNK = 1 << 14
+#: What a worker keeps: beyond so many transitions it forgets all and determinises anew; beyond so many
+#: words it runs further ones each time.
+TRANSITIONS, WORDS = 500_000, 300_000
+#: Longer words are not kept.
+WORD_CHARS = 48
 MARK = "▁"
-_UNIT = re.compile(r" +[^ ]*|[^ ]+")
-_EDGE = re.compile(r"\n|(?<=[^ \n])(?= )")
+_RESET, _UNIT = re.compile("(?<=[^ ]) "), re.compile(" +[^ ]*")
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a message in the protobuf wire format."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        wire = key & 7
+        if wire == 0:
+            yield key >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(wire) or varint()
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def load_pieces(data: bytes) -> dict[str, float]:
+    """Score of each piece of a BPE model, its space marks as spaces. The model must split as this module
+    does: no normalisation, a space in front, escaped spaces, unknown characters as bytes, no pieces of
+    the user's own."""
+    # Field numbers and enumerations of the model's format.
+    normal, control, unknown, as_byte, bpe = 1, 3, 2, 6, 2
+    scores, trainer, normalizer = {}, {}, {}
+    for number, value in _fields(data):
+        if number == 1:
+            piece = dict(_fields(value))
+            kind = piece.get(3, normal)
+            if kind == normal:
+                scores[piece[1].decode().replace(MARK, " ")] = struct.unpack("<f", piece[2])[0]
+            elif kind not in (control, unknown, as_byte):
+                raise ValueError(f"a piece of kind {kind} is not supported")
+        elif number == 2:
+            trainer = dict(_fields(value))
+        elif number == 3:
+            normalizer = dict(_fields(value))
+    if trainer.get(3, 1) != bpe or not trainer.get(35, 0) or trainer.get(24, 0):
+        raise ValueError("not a byte-pair model with byte fallback and leading space marks")
+    if normalizer.get(2) or not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1):
+        raise ValueError("the model normalises texts")
+    return scores
+
+
+class State(dict):
+    """Character -> (next state, tokens added). begun: length, last token and count, less the current one,
+    of each prefix after which a piece may begin; tail: the characters since the first of them."""
+
+    __slots__ = ("owner", "tail", "begun")
+
+    def __init__(self, owner: Transducer, tail: str, begun: tuple[tuple[int, str, int], ...]):
+        self.owner, self.tail, self.begun = owner, tail, begun
+
+    __hash__ = object.__hash__
+
+    def __missing__(self, c: str) -> tuple[State, int]:
+        edge = self.owner.compile(self, c)
+        self[c] = edge
+        return edge
 
 
-class Transitions(dict):
-    """Unit -> tokens that it emits, from the state between units. Units are spelled without the newline
-    before them; prefix is put in front of every unit of this table."""
+class ChunkMap:
+    """State -> (state, count): act up to the first reset; from there the state end and a count, whatever
+    came before. Without a reset end is None."""
 
-    def __init__(self, encode: Callable[[str], list], prefix: str):
-        self.encode, self.prefix = encode, prefix
+    __slots__ = ("act", "end", "count")
 
-    def __missing__(self, unit: str) -> int:
-        if len(self) >= TRANSITIONS:
-            self.clear()
-        # A newline in front keeps the library's own leading mark apart: mark, newline, unit.
-        n = len(self.encode("\n" + self.prefix + unit)) - 2 if self.prefix + unit else 0
-        if len(unit) <= 64:
-            self[unit] = n
-        return n
+    def __init__(self, act: Callable[[State], tuple[State, int]], end: State | None = None, count: int = 0):
+        self.act, self.end, self.count = act, end, count
 
+    def __call__(self, state: State) -> tuple[State, int]:
+        state, n = self.act(state)
+        return (state, n) if self.end is None else (self.end, n + self.count)
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """What a chunk does: whole is its text if it has no boundary; else head, count, tail."""
+    def then(self, other: ChunkMap) -> ChunkMap:
+        if self.end is not None:
+            end, n = other(self.end)
+            return ChunkMap(self.act, end, self.count + n)
 
-    whole: str | None
-    head: str = ""
-    count: int = 0
-    tail: str = ""
+        def act(state: State) -> tuple[State, int]:
+            state, n = self.act(state)
+            state, m = other.act(state)
+            return state, n + m
 
+        return ChunkMap(act, other.end, other.count)
 
-class Transducer:
-    def __init__(self, encode: Callable[[str], list]):
-        self.bare, self.spaced = Transitions(encode, ""), Transitions(encode, " ")
 
-    def line(self, line: str) -> int:
-        """Tokens of units without a newline."""
-        if "  " in line:
-            return sum(map(self.bare.__getitem__, _UNIT.findall(line)))
-        first, *rest = line.split(" ")
-        return self.bare[first] + sum(map(self.spaced.__getitem__, rest))
+class Words(dict):
+    """Tokens of words that start with a reset. prefix stands in front of every word of this table."""
 
-    def between(self, text: str) -> int:
-        """Tokens of whole units with newlines, each of which is a token."""
-        lines = text.split("\n")
-        return sum(map(self.line, lines)) + len(lines) - 1
+    def __init__(self, owner: Transducer, prefix: str):
+        self.owner, self.prefix = owner, prefix
+
+    def __missing__(self, word: str) -> int:
+        _, n = self.owner.run(self.owner.start, self.prefix + word)
+        if len(word) <= WORD_CHARS and len(self) < self.owner.most_words:
+            self[word] = n
+        return n
+
+
+class Transducer:
+    def __init__(self, scores: dict[str, float], transitions: int = TRANSITIONS, words: int = WORDS):
+        self.scores, self.limit, self.most_words = scores, transitions, words
+        self.spaced, self.bare = Words(self, " "), Words(self, "")
+        self.prefixes = {p[:n] for p in scores for n in range(1, len(p))}
+        #: Neighbours that some piece holds; between others no merge can happen.
+        self.inner = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
+        #: Whether a space after another character always resets.
+        self.cut = not any(x[1] == " " != x[0] for x in self.inner)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.states: dict[tuple, State] = {}
+        self.stands: dict[tuple[str, str], bool] = {}
+        self.made = 0
+        self.start = self._state("", ((0, "", 0),))
+
+    def _state(self, tail: str, begun: tuple) -> State:
+        return self.states.setdefault((tail, begun), State(self, tail, begun))
+
+    def merge(self, text: str) -> list[str]:
+        """The merges applied to a short text: best score first, then leftmost."""
+        parts = list(text)
+        while True:
+            best = None
+            for i in range(len(parts) - 1):
+                score = self.scores.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best[0]):
+                    best = (score, i)
+            if best is None:
+                return parts
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+    def stand(self, a: str, b: str) -> bool:
+        """Whether b may follow a: their joined text encodes to the two."""
+        if not a or a[-1] + b[0] not in self.inner:
+            return True
+        known = self.stands.get((a, b))
+        if known is None:
+            known = self.stands[a, b] = self.merge(a + b) == [a, b]
+        return known
+
+    def compile(self, state: State, c: str) -> tuple[State, int]:
+        if self.made >= self.limit:
+            self._clear()
+        self.made += 1
+        tail, begun = state.tail, state.begun
+        if not tail or tail[-1] + c not in self.inner:  # a reset
+            tail, begun = "", ((0, "", 0),)
+        if c not in self.scores:
+            return self._state(c, ((0, "", 0),)), len(c.encode("utf-8", "surrogatepass"))
+        last, added = next((p, n + 1) for size, before, n in begun if (p := tail[len(tail) - size :] + c) in self.scores and self.stand(before, p))
+        kept = [(size + 1, before, n - added) for size, before, n in begun if tail[len(tail) - size :] + c in self.prefixes]
+        kept.append((0, last, 0))
+        return self._state((tail + c)[-max(1, kept[0][0]) :], tuple(kept)), added
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        n = 0
+        for c in text:
+            state, added = state[c]
+            n += added
+        return state, n
+
+    def words(self, text: str) -> tuple[State, int]:
+        """The state after a text that starts with a reset at a space, and its count."""
+        if "  " in text:
+            *units, last = _UNIT.findall(text)
+            n = sum(map(self.bare.__getitem__, units))
+        else:
+            _, *units, last = text.split(" ")
+            n, last = sum(map(self.spaced.__getitem__, units)), " " + last
+        state, m = self.run(self.start, last)
+        return state, n + m
 
     def chunk(self, text: str) -> ChunkMap:
-        """Boundaries are around newlines and before a space that follows another character."""
-        first = _EDGE.search(text)
-        if first is None:
-            return ChunkMap(text)
-        newline = text.rfind("\n")
-        tail = newline + 1
-        spaces = text.rstrip(" ")
-        for at in (len(text) - 1, len(spaces) - 1):  # the last space with another character before it
-            cut = text.rfind(" ", tail, at + 1)
-            while cut > tail and text[cut - 1] == " ":
-                cut -= 1
-            if cut > tail and text[cut - 1] != "\n":
-                tail = cut
-                break
-        start = first.start()
-        return ChunkMap(None, text[:start], self.between(text[start:tail]) if tail > start else 0, text[max(tail, start) :])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """First a, then b. Where a's last characters and b's first meet, a boundary may arise."""
-        if a.whole is not None and b.whole is not None:
-            return self.chunk(a.whole + b.whole)
-        if a.whole is not None:
-            joint = self.chunk(a.whole + b.head)
-            if joint.whole is not None:
-                return ChunkMap(None, joint.whole, b.count, b.tail)
-            return ChunkMap(None, joint.head, joint.count + self.between(joint.tail) + b.count, b.tail)
-        if b.whole is not None:
-            joint = self.chunk(a.tail + b.whole)
-            if joint.whole is not None:
-                return ChunkMap(None, a.head, a.count, joint.whole)
-            return ChunkMap(None, a.head, a.count + self.between(joint.head) + joint.count, joint.tail)
-        return ChunkMap(None, a.head, a.count + self.between(a.tail + b.head) + b.count, b.tail)
+        """What the chunk does to any state."""
+        if self.cut and (first := _RESET.search(text)):
+            head, rest = text[: first.start()], self.words(text[first.start() :])
+        else:
+            at = next((i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.inner), None)
+            if at is None:
+                return ChunkMap(lambda state: self.run(state, text))
+            head, rest = text[:at], self.run(self.start, text[at:])
+        return ChunkMap(lambda state: self.run(state, head), *rest)
 
     def scan(self, maps: list[ChunkMap]) -> ChunkMap:
         while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
     def count(self, text: str | None) -> int:
@@ -116,10 +238,7 @@ class Transducer:
         if not text:
             return 0
         text = " " + text.replace(MARK, " ")
-        if len(text) <= CHUNK:
-            return self.between(text)
-        end = self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])
-        return self.between(end.whole) if end.whole is not None else self.between(end.head) + end.count + self.between(end.tail)
+        return self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])(self.start)[1]
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -132,21 +251,20 @@ _compiled: dict[str, Transducer] = {}
 
 
 def transducer(path: str) -> Transducer:
-    """The worker's transducer for a model: what one task has compiled serves the next."""
+    """The worker's transducer for a model: what one task has determinised serves the next."""
     if path not in _compiled:
-        import sentencepiece
-
-        _compiled[path] = Transducer(sentencepiece.SentencePieceProcessor(model_file=path).encode)
+        with open(path, "rb") as f:
+            _compiled[path] = Transducer(load_pieces(f.read()))
     return _compiled[path]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens) for each row.
 
-    path: a sentencepiece BPE model with identity normalisation and byte fallback; every executor has
-    the file. Null and empty texts have no bytes and no tokens; repeated rows are counted alike; a null
-    doc_id stays null; an empty table gives an empty table; other columns are not read. Texts are
-    counted whole, and strings that look like special tokens are ordinary text.
+    path: a sentencepiece BPE model without normalisation and with byte fallback, which is checked when
+    it is loaded; every executor has the file. Null and empty texts have no bytes and no tokens; repeated
+    rows are counted alike; a null doc_id stays null; an empty table gives an empty table; other columns
+    are not read. Texts are counted whole, and strings that look like special tokens are ordinary text.
     """
     path = path or tokenizer_path()
 
