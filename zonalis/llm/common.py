@@ -32,20 +32,49 @@ def ascii_lower(c: Column) -> Column:
 
 
 def partitions(spark: SparkSession) -> int:
+    """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in ``spark.checkpoint.dir``, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and stages that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names no such folder (tests on one machine) is one made.
+    A session on one machine that names none (tests) gets a temporary one; a cluster must name it.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="zonalis-checkpoint-"))
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named or held.nonEmpty():
+        return named or held.get()
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="zonalis-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: A key with more than this share of the rows is hot; so there are fewer hot keys than its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_spread(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with names, which has one row a key and in ``n`` the number of the key's rows
+    (dropped). The hot keys, under a thousand, are broadcast; the others are joined by a shuffle.
+    Both sides are read twice where a key is hot."""
+    total = names.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > max(1000, total * HOT_SHARE)
+    hot, cold = names.where(is_hot).drop("n"), names.where(~is_hot).drop("n")
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,6 +8,7 @@ container that holds enough of its text, or else at its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import math
 import re
@@ -22,8 +23,12 @@ from .common import checkpoint
 #: Hosts whose winning paths are broadcast; beyond, they are joined through a salted shuffle.
 BROADCAST_HOSTS = 50_000
 SALTS = 32
-#: Characters of a path that votes; a longer one keeps its end.
+#: A path of more characters votes by the digest of the whole.
 PATH_CHARS = 300
+#: An element whose class says noise stays if it holds an article or more than this share of the text.
+MOST_TEXT = 0.5
+#: Siblings like the chosen container are parts of one story from this share of its score.
+SIBLING = 0.2
 #: A page follows its host where the winning container scores this share of its best one.
 FOLLOW = 0.5
 
@@ -31,7 +36,7 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|</?\Z",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?|[\"'][^\"']*[\"']?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 _BLOCK = frozenset(
@@ -41,34 +46,68 @@ _CONTAINERS = frozenset("article main section div td body blockquote center".spl
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td figcaption".split())
 #: Elements that never hold article text.
 _DROPPED = frozenset("nav footer aside form script style noscript iframe template svg math button select option textarea object embed canvas audio video head title menu dialog input label datalist map".split())
-_NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|advertisement|advertising|adslot|banner|breadcrumb|breadcrumbs|byline-ad|comment|comments|cookie|cookies|consent|disqus|footer|gdpr|header|hidden|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|overlay|paywall|popup|promo|promoted|promotion|related|recommended|reply|replies|respond|share|sharing|sidebar|side-bar|signup|skip-link|skip|social|sponsor|sponsored|subscribe|subscription|toolbar|topbar|widget)(?:$|[-_\s])",
-    re.I,
+#: Words of classes and ids that mark noise wherever they stand.
+_NOISE = frozenset(
+    "ad ads advert advertisement advertising adslot breadcrumb breadcrumbs cookie cookies consent footer gdpr hidden menu modal nav navbar navigation newsletter notice notices overlay paywall popup promo promoted promotion related recommended share sharing sidebar signup skip skiplink social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Such words that an article's own parts may have.
+_HEADS = frozenset("header masthead banner topbar".split())
+#: Readers' words: noise even where they hold most of the text, or articles.
+_READERS = frozenset("comment comments disqus replies respond".split())
+#: Words that say what an element stands beside, not what it is.
+_BESIDE = frozenset("with has no without toggle open closed layout page wrapper".split())
+_PARTS = re.compile(r"[^\W_]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_GOOD = re.compile(r"(?:^|[-_\s])(?:article|content|entry|main|post|story|text|body)(?:$|[-_\s])", re.I)
+_GOOD = frozenset("article content entry main post story text body".split())
 #: What a new element closes, and the elements at which the search for it stops.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table body html article section main div".split())
 _ARTICLE = frozenset("article main".split())
 
 
+def attributes_of(source: str) -> dict[str, str]:
+    """Names, in lower case, and values of a tag's attributes; of repeated names the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        if m[1]:
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def marks(names: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a class or id among names says noise, a head, readers' words, or article. Words are the parts
+    of one class or id; a word that stands beside ``with`` and the like says nothing."""
+    noise = head = readers = good = False
+    for token in names.lower().split():
+        words = [w.rstrip("0123456789") for w in _PARTS.findall(token)]
+        good |= not _GOOD.isdisjoint(words)
+        if _BESIDE.isdisjoint(words):
+            noise |= not _NOISE.isdisjoint(words)
+            head |= not _HEADS.isdisjoint(words)
+            readers |= not _READERS.isdisjoint(words)
+    return noise, head, readers, good
+
+
 class Node:
-    __slots__ = ("tag", "label", "parent", "parts", "noise", "score", "links", "good", "within")
+    """An element. noise: it and all it holds are left out; soft: only its class or id says so."""
+
+    __slots__ = ("tag", "label", "parent", "parts", "noise", "soft", "score", "links", "good", "within")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.parts, self.score, self.links = tag, parent, [], 0.0, 0
-        self.label, self.noise, self.good = tag, tag in _DROPPED, False
+        self.label, self.noise, self.soft, self.good = tag, tag in _DROPPED, False, False
+        self.within = tag in _ARTICLE or parent is not None and parent.within
         if attributes:
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+            found = attributes_of(attributes)
             classes = sorted({re.sub(r"\d+", "", c.lower()).strip("-_") for c in found.get("class", "").split()} - {""})
             self.label = ".".join([tag, *classes])
-            names = f"{found.get('class', '')} {found.get('id', '')}"
-            self.good = bool(_GOOD.search(names))
+            noise, head, readers, self.good = marks(f"{found.get('class', '')} {found.get('id', '')}")
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+            if tag not in ("html", "body", "main"):
+                self.noise |= readers
             if tag not in ("html", "body", "article", "main"):
-                self.noise |= hidden or found.get("role", "").lower() in _ROLES or bool(_NOISE.search(names))
-        self.within = tag in _ARTICLE or parent is not None and parent.within
+                self.noise |= hidden or found.get("role", "").lower() in _ROLES
+                self.soft = not self.noise and (noise or head and not self.within)
         self.noise |= tag == "header" and not self.within  # an article's own header holds its title
 
     def path(self) -> str:
@@ -76,7 +115,34 @@ class Node:
         while node is not None:
             labels.append(node.label)
             node = node.parent
-        return "/".join(reversed(labels))[-PATH_CHARS:]
+        whole = "/".join(reversed(labels))
+        return whole if len(whole) <= PATH_CHARS else hashlib.sha256(whole.encode()).hexdigest()
+
+
+def settle(root: Node) -> None:
+    """Make soft noise noise, but where it holds an article or most of the page's text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if not node.noise:
+            order.append(node)
+            stack.extend(p for p in node.parts if not isinstance(p, str))
+    if not any(n.soft for n in order):
+        return
+    held: dict[int, tuple[int, bool]] = {}
+    for node in reversed(order):
+        size, article = 0, False
+        for p in node.parts:
+            if isinstance(p, str):
+                size += len(p) - p.count(" ") - p.count("\n")
+            else:
+                n, inside = held.get(id(p), (0, False))
+                size, article = size + n, article or inside
+        held[id(node)] = size, article or node.tag in _ARTICLE
+    whole = held[id(root)][0]
+    for node in order:
+        size, article = held[id(node)]
+        node.noise = node.soft and not article and size <= MOST_TEXT * whole
 
 
 def parse(page: str) -> Node:
@@ -139,6 +205,7 @@ def parse(page: str) -> Node:
         if tag not in _VOID and not (m[3] or "").rstrip().endswith("/"):
             node = child
             seen.add(tag)
+    settle(root)
     return root
 
 
@@ -211,6 +278,13 @@ def text_of(node: Node) -> str:
     return "\n".join(blocks)
 
 
+def story(best: Node, containers: list[Node]) -> list[Node]:
+    """The container and those beside it, in page order, that are like it and hold enough: one story may be
+    split over siblings."""
+    alike = {id(c) for c in containers if c.parent is best.parent and c.label == best.label and c.score >= SIBLING * best.score}
+    return [p for p in best.parent.parts if id(p) in alike] if best.parent is not None else [best]
+
+
 def host_of(url: str | None) -> str:
     """The lower-case host of a URL, without user and port; empty where there is none."""
     rest = (url or "").partition("://")[2] or (url or "").removeprefix("//")
@@ -231,10 +305,10 @@ def extract(page: str | None, path: str | None = None) -> str:
     if best is None:
         return text_of(root)
     if path:
-        agreed = [c for c in containers if c.score >= FOLLOW * best.score and c.path() == path]
+        agreed = [c for c in containers if c.score >= FOLLOW * best.score and (len(path) == 64 or path.endswith(c.label)) and c.path() == path]
         if agreed:
             best = max(agreed, key=lambda c: c.score)
-    return text_of(best)
+    return "\n".join(filter(None, map(text_of, story(best, containers))))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +336,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     A null or empty page gives an empty text; a page without a container gives its text without
     noise; a null url is the host ''. Repeated rows vote and are extracted each for itself. An empty
-    table gives an empty table; other columns are not read. Whole pages are parsed, without limits.
+    table gives an empty table; other columns are not read. Whole pages are parsed, without limits; a path
+    of more than ``PATH_CHARS`` characters is returned as its SHA-256.
     """
     winners = checkpoint(host_paths(pages))
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")

@@ -1,11 +1,13 @@
 """SimHash near-dedup by multi-index hashing.
 
-A fingerprint's two 32-bit segments each get a Hamming ball of radius 1; a key of the index is a
-neighbour of one segment beside the other segment as it is (65 keys with the fingerprint's own).
-Both the table and the probes enumerate, so two fingerprints at distance two or less meet under a
-common key, whichever segments the bits fall in. A key can hold 65 different fingerprints at most,
-whatever the corpus: there is no bucket to cap and no group whose pairs multiply. Copies of one
-fingerprint are one entry. Complete distances are verified before a link counts.
+A fingerprint has two segments of 32 bits, and each segment has a table from its values to the
+fingerprints. Of two fingerprints at distance two or less, either a segment is equal or both differ in
+one bit. So a fingerprint probes both tables with its own values, and the first table with the values
+of the ball of radius one around its segment: of two neighbours the one that lacks the bit probes.
+Probes of values that no fingerprint has are dropped first. What a probe fetches is verified by the
+complete distance. A bucket above ``BUCKET`` is split by the remaining bits: its members are filed
+under the ball of their other segment, which is exact, and no file has more than 65 members. Copies of
+one fingerprint are one entry.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, join_spread, partitions
 
 MAX_DISTANCE = 2
+#: Members of a bucket that are compared with each probe; larger buckets are split by the other segment.
+BUCKET = 32
 
 
 def fingerprint(text: str | None) -> int:
@@ -46,30 +50,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return checkpoint(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint"))
 
 
+def tables(fps: DataFrame) -> DataFrame:
+    """(seg, value, other, fp): each fingerprint under both of its segments."""
+    high, low = "shiftrightunsigned(fp, 32)", "fp & 4294967295L"
+    both = F.expr(f"inline(array(named_struct('seg', 0, 'value', {high}, 'other', {low}), named_struct('seg', 1, 'value', {low}, 'other', {high})))")
+    return fps.select("fp", both)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b), a < b, that join the same components as all links of distance two or less do.
 
-    fps: different values in column fp. Under each key every fingerprint is linked to the key's
-    least, which lies within two bits of it.
+    fps: different values in column fp.
     """
-    ball = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    met = fps.select("fp", F.explode(ball).alias("key")).groupBy("key").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    pairs = met.select("a", F.explode("all").alias("b")).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE))
-    return pairs.distinct()
+    spark = fps.sparkSession
+    table = checkpoint(tables(fps.repartition(partitions(spark), "fp")))
+    sizes = table.groupBy("seg", "value").agg(F.count("*").alias("n"))
+    balls = F.concat(F.array(F.col("value")), F.expr("transform(filter(sequence(0, 31), i -> seg = 0 and (value & shiftleft(1L, i)) = 0), i -> value | shiftleft(1L, i))"))
+    probes = table.select("seg", "fp", "other", F.col("value").alias("own"), F.explode(balls).alias("value"))
+    alone = (F.col("own") == F.col("value")) & (F.col("n") == 1)
+    met = checkpoint(probes.join(sizes.hint("shuffle_hash"), ["seg", "value"]).where(~alone))
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    fetched = met.where(F.col("n") <= BUCKET).select("seg", "value", F.col("fp").alias("a")).join(table.select("seg", "value", F.col("fp").alias("b")), ["seg", "value"])
+    small = fetched.where((F.col("a") != F.col("b")) & (distance <= MAX_DISTANCE)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = F.expr("if(own = value, concat(array(other), transform(sequence(0, 31), i -> other ^ shiftleft(1L, i))), array(other))")
+    files = met.where(F.col("n") > BUCKET).select("seg", "value", "fp", F.explode(near).alias("rest")).groupBy("seg", "value", "rest").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all"))
+    large = files.where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where((F.col("a") < F.col("b")) & (distance <= MAX_DISTANCE))
+    return small.union(large).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component of edges (a, b), by alternating large and small
-    stars; a round is two shuffles of the edges, and rounds grow with the logarithm of the size."""
+    stars; a round is two shuffles of the edges, and rounds grow with the logarithm of the size. Nodes
+    that hold a thousandth of a round's edges or more are joined by a broadcast."""
     edges = checkpoint(edges.select("a", "b").where("a <> b").distinct())
     seen = None
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
+        large = checkpoint(join_spread(both, least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct())
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = checkpoint(down.groupBy("u").agg(F.min("v").alias("m")))
-        small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").union(low.select("m", "u")).distinct()
+        low = checkpoint(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_spread(down, low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").union(low.select("m", "u")).distinct()
         edges = checkpoint(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
@@ -86,9 +107,9 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     are not read.
     """
     own = fingerprints(docs)
-    kinds = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    kinds = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(kinds.select("fp")))
-    rooted = kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = checkpoint(rooted.join(firsts, "root").select("fp", "component_id"))
-    return own.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = checkpoint(kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    names = join_spread(rooted.withColumnRenamed("n", "rows"), checkpoint(firsts), "root").select("fp", "component_id", F.col("rows").alias("n"))
+    return join_spread(own, checkpoint(names), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
