@@ -26,9 +26,14 @@ def words_sql(text: str) -> str:
     return f"filter(split(translate(coalesce({text}, ''), '\\u0009\\u000a\\u000b\\u000c\\u000d', '     '), ' '), w_ -> w_ <> '')"
 
 
+#: Characters that Unicode's lower case changes lie outside; texts of these alone take the fast way.
+_UNCASED = r"[^\x00-\x7F\xA0-\xBF\xDF-\xF6\xF8-\xFF\x{2010}-\x{2027}\x{3000}-\x{9FFF}]"
+
+
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(c, UPPER, UPPER.lower())
+    """Lower-case A-Z only. Where no other character has a lower case, ``lower`` does the same and is fast."""
+    plain = (F.octet_length(c) == F.char_length(c)) | ~F.rlike(c, F.lit(_UNCASED))
+    return F.when(plain, F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -75,6 +80,22 @@ def join_spread(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
+#: Buckets of hashes that a pre-filter broadcasts at most.
+BUCKETS = 1 << 18
+
+
+def split_touched(rows: DataFrame, by: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(hit, rest): rows whose hash ``by`` may be among the hashes ``key`` of keys, and rows whose is not.
+
+    Only the buckets that the hashes fall into are broadcast, ``BUCKETS`` numbers at most: where few rows
+    are touched, the others need no shuffle; where many are, all are hits. Rows are read twice.
+    """
+    bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS))
+    touched = F.broadcast(checkpoint(keys.select(bucket(key).alias("_bucket")).distinct()))
+    same = bucket(by) == F.col("_bucket")
+    return rows.join(touched, same, "left_semi"), rows.join(touched, same, "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
