@@ -171,7 +171,7 @@ def test_near_dedup_of_shared_and_null_ids(spark):
 def test_near_stage_matches_brute_force(spark):
     import corpus_pipeline
 
-    docs = corpus_pipeline.line_stage(spark, corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), SF).localCheckpoint()
+    docs = corpus_pipeline.line_stage(spark, corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), SF).checkpoint()
     texts = dict(sorted((r.doc_id, r.text) for r in docs.collect()))
     ids, pairs = list(texts), near_copies(texts.values())
     least = list(range(len(ids)))
@@ -190,14 +190,12 @@ def test_near_stage_matches_brute_force(spark):
     assert {r.doc_id: r.text for r in corpus_pipeline.near_stage(spark, docs, SF).collect()} == want
 
 
-def brute_coverage(item, text, k=5):
-    """Greedy tiling, written plainly."""
+def brute_tiles(item, text, k=5):
+    """Greedy tiles, written plainly: the longest first, then by place in the item and in the text."""
     a, b = decontamination.tokens(item), decontamination.tokens(text)
     k = min(k, len(a))
-    if not k:
-        return 0.0, 0
-    used_a, used_b, tiles = set(), set(), 0
-    while True:
+    used_a, used_b, out = set(), set(), []
+    while k:
         best = (k - 1, 0, 0)
         for p in range(len(a)):
             for t in range(len(b)):
@@ -208,24 +206,40 @@ def brute_coverage(item, text, k=5):
                     best = (n, p, t)
         n, p, t = best
         if n < k:
-            return len(used_a) / len(a), tiles
+            break
         used_a.update(range(p, p + n))
         used_b.update(range(t, t + n))
-        tiles += 1
+        out.append((p, t, n))
+    return out
 
 
 def test_tiling_matches_brute_force():
     rng = random.Random(5)
-    for _ in range(150):
-        item = " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 30)))
+    for i in range(200):
+        item = " ".join(rng.choice("abcd"[: 2 + i % 3]) for _ in range(rng.randrange(1, 30)))
         words = item.split()
         cut = rng.randrange(len(words))
         text = " ".join([*[rng.choice("abxy") for _ in range(9)], *words[cut:], "zz", *words[:cut], *[rng.choice("abcd") for _ in range(12)]])
-        found = {i: (c, n) for _, i, c, n, _ in decontamination.Block([(7, item)]).matches([(1, text)])}
-        coverage, tiles = brute_coverage(item, text)
-        assert (7 in found) == (coverage >= decontamination.THRESHOLD - 1e-12)
-        if found:
-            assert abs(found[7][0] - coverage) < 0.35 and found[7][0] >= decontamination.THRESHOLD
+        want = brute_tiles(item, text)
+        assert decontamination.tiles(decontamination.hashed(item), decontamination.hashed(text), min(5, len(words))) == want
+        covered = sum(n for _, _, n in want)
+        rows = [(1, 7, covered / len(words), len(want), covered)] if covered >= decontamination.THRESHOLD * len(words) else []
+        assert list(decontamination.Block([(7, item), (8, "none of it is here"), (9, "")]).matches([(1, text), (2, "zz"), (3, "")])) == rows
+
+
+def test_repeated_tokens_take_no_pairs():
+    import time
+
+    item, text = "la " * 400, "la " * 4000
+    block, start = decontamination.Block([(1, item)]), time.perf_counter()
+    assert list(block.matches([(2, text)])) == [(2, 1, 1.0, 1, 400)]
+    assert time.perf_counter() - start < 0.5
+
+
+def test_blocks_are_bounded_by_bytes():
+    texts = ["a " * 3000, "x", "Word and other words. " * 500, "é" * 4000]
+    for t in texts:
+        assert decontamination.Block([(1, t)]).nbytes <= decontamination.BYTES_PER_CHAR * (len(t) + 1)
 
 
 def test_reordered_sentences_are_caught():
@@ -254,7 +268,7 @@ def test_contamination(spark):
 def test_contamination_blocks_agree(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60_000)
     monkeypatch.setattr(decontamination, "CHUNK_CHARS", 3000)
     assert len(whole) >= 1 and sorted(map(tuple, decontamination.contamination(docs, bench).collect())) == whole
     items = {r.item_id: r.text for r in bench.collect()}
