@@ -1,10 +1,11 @@
 """Line dedup on range-partitioned hashes with a secondary sort, in DataFrame operations only.
 
-Lines travel as 128-bit hashes with their document and place, never as text. Hashes are dealt by
-range of (hash, slice of documents), sorted by document and place, and streamed: the first row of a
-run is the first occurrence. The slice splits a line that a third of all documents hold into
-``SLICES`` runs, whose summaries (one row each) are added up. What goes back to a document is a
-bitmap of kept lines, run-length coded.
+Lines travel as 128-bit hashes with their document and place, never as text. Hashes of (line, slice of
+documents) are uniform, so their range is cut arithmetically, without a sampling pass; ranges are dealt
+out, sorted by document and place, and streamed: the first row of a run is the first occurrence. The
+slice splits a line that a third of all documents hold into ``SLICES`` runs, whose summaries (one row
+each) are added up. What goes back to a document is a bitmap of kept lines, run-length coded; documents
+that lose nothing are not moved.
 """
 
 from __future__ import annotations
@@ -12,14 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, checkpoint, let, packed, partitions, unpacked
+from .common import WS, ascii_lower, checkpoint, let, packed, partitions, split_touched, unpacked
 
 SLICES = 64
+#: Ranges of hashes a partition, about.
+RANGES = 16
 MIN_DOCS = 10
 #: Lines of more words than this are passages, which the pipeline keeps in one document only.
 LONG_WORDS, LONG_DOCS = 50, 2
 
 
+#: A run: range, both hashes of the line, slice.
+RUN = ["_r", "_a", "_b", "_s"]
+
+
 def _lines():
     return F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
 
@@ -29,15 +36,17 @@ def _identity(docs: DataFrame) -> list:
 
 
 def line_runs(docs: DataFrame, min_words: int = 1) -> DataFrame:
-    """A row for each line of ``min_words`` words or more: hash (_a, _b), slice _s, document (_d, _t),
+    """A row for each line of ``min_words`` words or more: range _r, hash (_a, _b), slice _s, document (_d, _t),
     place _p, and whether it is its document's first line of that hash (_first); dealt by range and sorted."""
     key = ascii_lower(F.btrim(F.col("_line"), F.lit(WS)))
     rows = docs.select(*_identity(docs), F.posexplode(_lines()).alias("_p", "_line")).withColumn("_key", key).where("_key <> ''")
     if min_words > 1:
         rows = rows.where(F.rlike("_key", F.lit(f"^(?:[^{WS}]++[{WS}]++){{{min_words - 1}}}[^{WS}]")))
     rows = rows.select(F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit("line"), F.col("_key")).alias("_b"), F.pmod(F.xxhash64("_d", "_t"), F.lit(SLICES)).cast("int").alias("_s"), "_d", "_t", "_p")
-    run = Window.partitionBy("_a", "_b", "_s").orderBy("_d", "_t", "_p")
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), "_a", "_b", "_s").sortWithinPartitions("_a", "_b", "_s", "_d", "_t", "_p")
+    n = partitions(docs.sparkSession)
+    cut = F.shiftright(F.shiftrightunsigned(F.xxhash64("_a", "_b", "_s"), 33) * F.lit(n * RANGES).cast("bigint"), 31).cast("int")
+    run = Window.partitionBy(*RUN).orderBy("_d", "_t", "_p")
+    ranged = rows.withColumn("_r", cut).repartition(n, "_r").sortWithinPartitions(*RUN, "_d", "_t", "_p")
     before = F.lag(F.struct("_d", "_t")).over(run)
     return ranged.withColumn("_first", before.isNull() | ~before.eqNullSafe(F.struct("_d", "_t")))
 
@@ -49,10 +58,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     occurrence by document and place stays. Lines of fewer than ``min_words`` words stay.
     """
     runs = checkpoint(line_runs(docs, min_words))
-    here = runs.where("_first").groupBy("_a", "_b", "_s").agg(F.count("*").alias("_n"), F.min(F.struct("_d", "_t", "_p")).alias("_at"))
+    here = runs.where("_first").groupBy(*RUN).agg(F.count("*").alias("_n"), F.min(F.struct("_d", "_t", "_p")).alias("_at"))
     common = here.groupBy("_a", "_b").agg(F.sum("_n").alias("_docs"), F.min("_at").alias("_start")).where(F.col("_docs") >= min_docs).drop("_docs")
-    marks = here.select("_a", "_b", "_s").join(common, ["_a", "_b"])
-    gone = runs.join(marks, ["_a", "_b", "_s"])
+    marks = here.select(*RUN).join(common, ["_a", "_b"])
+    gone = runs.join(marks, RUN)
     if keep_first:
         gone = gone.where(~F.struct("_d", "_t", "_p").eqNullSafe(F.col("_start")))
     return gone.groupBy("_d", "_t").agg(F.array_sort(F.collect_set("_p")).alias("_gone")).withColumn("_bits", F.expr(KEEP_RUNS))
@@ -74,11 +83,14 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = Fal
     rows with a null doc_id are told apart by their text. An empty table gives an empty table; other
     columns stay, but for those of the new names. Whole texts of any length are split.
     """
-    bitmaps = keep_bitmaps(docs, min_docs, keep_first, min_words)
+    bitmaps = checkpoint(keep_bitmaps(docs, min_docs, keep_first, min_words))
     own = packed(docs, text=F.coalesce(F.col("text"), F.lit("")), d=F.col("doc_id"), t=F.xxhash64("text"))
-    both = own.join(bitmaps, own.d.eqNullSafe(bitmaps._d) & (own.t == bitmaps._t), "left")
+    hit, rest = split_touched(own, "t", bitmaps, "_t")
+    joined = hit.join(bitmaps, own.d.eqNullSafe(bitmaps._d) & (own.t == bitmaps._t), "left").select("row", "text", "_gone", "_bits")
+    none = [F.lit(None).cast(bitmaps.schema[c].dataType).alias(c) for c in ("_gone", "_bits")]
+    both = joined.unionByName(rest.select("row", "text", *none))
     kept = F.expr("case when _gone is null then text else " + let("l_", "split(text, '\\n', -1)", "array_join(flatten(transform(_bits, r_ -> slice(l_, r_.start + 1, r_.len))), '\\n')") + " end")
-    n_lines = F.length(F.regexp_replace("text", "[^\n]", "")).cast("bigint") + 1
+    n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     return unpacked(both, docs.columns, n_lines=n_lines, n_dropped=F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"), kept_text=kept, keep_bits=F.col("_bits"))
 
 
