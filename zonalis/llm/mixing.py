@@ -51,7 +51,7 @@ def systematic(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     same copies in any run, whatever their partitions.
     """
     order = ["source", "size", "doc_id", "_t"]
-    own = docs.select("doc_id", "source", F.xxhash64("text").alias("_t"), F.expr(f"cast(size({words_sql('text')}) as bigint)").alias("size"))
+    own = checkpoint(docs.select("doc_id", "source", F.xxhash64("text").alias("_t"), F.expr(f"cast(size({words_sql('text')}) as bigint)").alias("size")))
     dealt = own.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     dealt = checkpoint(dealt.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
