@@ -1,10 +1,12 @@
-"""Personal data by candidate gradient boosting, in Spark SQL expressions only.
+"""Personal data and secrets by candidate gradient boosting, in Spark SQL expressions only.
 
 High-recall patterns propose overlapping spans besides the base patterns. Boosted trees over the
 span's format and the words before it score each proposal, and a threshold for each kind, calibrated
-on held-out examples, selects. The trees are fitted on the driver on a bounded set of generated
-examples (``EXAMPLES`` a template), whose features come from the same SQL, and are then compiled into
-CASE expressions: documents are read by the JVM alone, and nothing is shuffled.
+on held-out examples, selects. The trees are fitted on the driver on bounded examples: generated ones
+(``EXAMPLES`` a template), and spans of a bounded sample of the documents themselves (``SAMPLE_DOCS``),
+where a base pattern that passes its check is a good example and one that fails it is a bad one. Features
+come from the same SQL. The trees are then compiled into CASE expressions: documents are read by the JVM
+alone, and nothing is shuffled.
 
 Patterns are written so that the engine needs no stack for long runs: single separators that stand
 between two characters of the run are first replaced by U+0001, character by character, so that a
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds of the base patterns.
+BASE_KINDS = 4
 EXAMPLES = 40
+#: Documents that lend examples, about, chosen by a hash of doc_id and text; and proposals read of one.
+SAMPLE_DOCS, SAMPLE_SPANS = 4000, 50
 ROUNDS, RATE, SEED = 40, 0.3, 11
 PRECISION = 0.99
 #: Words before a span that speak for a kind, and words that speak against all.
@@ -33,8 +39,9 @@ CONTEXT = {
     "ip": ("ip", "host", "server", "address", "login from"),
     "card": ("card", "visa", "mastercard", "credit", "payment"),
     "phone": ("phone", "tel", "call", "fax", "mobile", "dial"),
+    "secret": ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "credential", "private key", "access key", "access_key", "auth", "bearer"),
 }
-AGAINST = ("isbn", "version", "order", "invoice", "page", "serial", "part no", "section", "score", "ticket")
+AGAINST = ("isbn", "version", "order", "invoice", "page", "serial", "part no", "section", "score", "ticket", "commit", "checksum", "digest", "md5", "sha1", "sha256", "uuid")
 
 _LABEL = "A-Za-z0-9-"
 _LOCAL = "A-Za-z0-9._%+\x01-"
@@ -62,8 +69,8 @@ def _luhn(digits: str) -> str:
     return f"(aggregate(sequence(0, length({digits}) - 1), 0, (s_, i_) -> s_ + {value}) % 10 = 0)"
 
 
-def _base() -> dict[str, str]:
-    """SQL arrays of the base spans of t0 by kind."""
+def _base(checked: bool = True) -> dict[str, str]:
+    """SQL arrays of the base spans of t0 by kind; unchecked, of all that the patterns match."""
     mail = f"regexp_replace(t0, '(?<=[{_LABEL}])\\\\.(?=[{_LABEL}])', '\\u0001')"
     email = _spans(mail, rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[{_LABEL}]++{chr(1)}[{_LABEL}{chr(1)}]++".replace("-\x01]", "\x01-]"))
     card = _spans("regexp_replace(t0, '(?<=[0-9])[ -](?=[0-9])', '\\u0001')", "[0-9][0-9\x01]{11,}+")
@@ -71,26 +78,30 @@ def _base() -> dict[str, str]:
     phone = _spans("t0", r"\+[0-9][ ().0-9-]+[0-9]")
     part = let("z_", "ltrim('0', o_)", "length(z_) <= 3 and cast(if(z_ = '', '0', z_) as int) <= 255")
     card_ok = let("d_", _digits("x_.m"), f"length(d_) between 12 and 19 and {_luhn('d_')}")
-    return {
-        "email": f"if(contains(t0, '@'), {email}, {_NONE})",
-        "ip": f"filter({ip}, x_ -> forall(split(x_.m, '\\\\.'), o_ -> {part}))",
-        "card": f"filter({card}, x_ -> {card_ok})",
-        "phone": f"if(contains(t0, '+'), filter({phone}, x_ -> length({_digits('x_.m')}) between 9 and 15), {_NONE})",
+    checks = {
+        "email": "true",
+        "ip": f"forall(split(x_.m, '\\\\.'), o_ -> {part})",
+        "card": card_ok,
+        "phone": f"length({_digits('x_.m')}) between 9 and 15",
     }
+    found = {"email": f"if(contains(t0, '@'), {email}, {_NONE})", "ip": ip, "card": card, "phone": f"if(contains(t0, '+'), {phone}, {_NONE})"}
+    return {k: f"filter({v}, x_ -> {checks[k]})" if checked and checks[k] != "true" else v for k, v in found.items()}
 
 
 _NONE = "cast(array() as array<struct<start:int,end:int,m:string>>)"
 
 
 def _proposals() -> dict[str, str]:
-    """SQL arrays of proposed spans of t0 by kind: wider than what is redacted in the end."""
+    """SQL arrays of proposed spans of t0 by kind: wider than what is redacted in the end. The lengths of an
+    address's parts and their number are those that the standards of mail and names allow."""
     hexa = "[0-9a-fA-F]{1,4}"
     at, dot = r"(?:@|\(at\)|\[at\]|at)", r"(?:\.|\(dot\)|\[dot\]|dot)"
     return {
-        "email": _spans("t0", rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+ ?{at} ?[A-Za-z0-9-]{{1,63}}(?: ?{dot} ?[A-Za-z0-9-]{{2,63}}){{1,4}}"),
+        "email": _spans("t0", rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+ ?{at} ?[A-Za-z0-9-]{{1,63}}(?: ?{dot} ?[A-Za-z0-9-]{{2,63}}){{1,126}}"),
         "ip": _spans("t0", rf"(?<![0-9A-Za-z.:])(?:[0-9]{{1,3}}(?:\[\.\]|\(\.\))){{3}}[0-9]{{1,3}}(?![0-9A-Za-z])|(?<![0-9A-Za-z:])(?:(?:{hexa}:){{7}}{hexa}|(?:{hexa}(?::{hexa}){{0,6}})?::(?:{hexa}(?::{hexa}){{0,6}})?)(?![0-9A-Za-z:])"),
         "card": _spans("t0", r"(?<![0-9A-Za-z./_])[0-9](?:[ ./_-]?[0-9]){11,18}(?![0-9A-Za-z])"),
         "phone": _spans("t0", r"(?<![0-9A-Za-z.+/_-])(?:\([0-9]{1,5}\)[ ./-]?[0-9](?:[ ./-]?[0-9]){4,13}|[0-9](?:[ ./-]?[0-9]){6,14})(?![0-9A-Za-z/_-])"),
+        "secret": _spans("t0", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9@])"),
     }
 
 
@@ -108,15 +119,18 @@ def _features(kind: str) -> str:
             d,
             f"array({float(KINDS.index(kind))}D, cast(length(d_) as double), cast(length(x_.m) as double), {count(' ')}, {count('-./_')}, {count('()[]')}, {count('@')}, "
             f"{number(has(CONTEXT[kind]))}, {number(has(AGAINST))}, {number('length(d_) >= 12 and ' + _luhn('d_'))}, {number('length(replace(d_, substr(d_, 1, 1), chr(32))) > 0 and length(trim(replace(d_, substr(d_, 1, 1), chr(32)))) = 0')}, "
-            f"{number(chr(40) + 'lower(x_.m) rlike ' + _lit(r'[.\])t] ?(com|org|net|edu|gov|de|fr|es|io|uk)$') + chr(41))}, {number('x_.m rlike ' + _lit(r'^(19|20)[0-9]{2}[ ./-]'))}, {count(':')})",
+            f"{number(chr(40) + 'lower(x_.m) rlike ' + _lit(r'[.\])t] ?(com|org|net|edu|gov|de|fr|es|io|uk)$') + chr(41))}, {number('x_.m rlike ' + _lit(r'^(19|20)[0-9]{2}[ ./-]'))}, {count(':')}, "
+            f"cast(length(regexp_replace(x_.m, '[^A-Za-z]', '')) as double), {number('x_.m rlike ' + _lit('^(?:[0-9a-f]+|[0-9A-F]+)$'))}, cast(size(array_distinct(split(x_.m, ''))) as double), {number('x_.start > 0 and substr(t0, x_.start, 1) rlike ' + _lit('[=:' + chr(34) + ']'))})",
         ),
     )
 
 
-def _proposed(kind: str) -> str:
-    """SQL array of (start, end, kind, features) of the proposals of a kind."""
+def _proposed(kind: str, base: bool = False) -> str:
+    """SQL array of (start, end, kind, features) of the proposals of a kind; with ``base``, also of what its
+    base pattern matches."""
     k = KINDS.index(kind)
-    return f"transform({_proposals()[kind]}, x_ -> named_struct('start', x_.start, 'end', x_.end, 'kind', {k}, 'f', {_features(kind)}))"
+    spans = f"concat({_proposals()[kind]}, {_base(checked=False)[kind]})" if base else _proposals()[kind]
+    return f"transform({spans}, x_ -> named_struct('start', x_.start, 'end', x_.end, 'kind', {k}, 'm', x_.m, 'f', {_features(kind)}))"
 
 
 _T0 = "translate(coalesce(text, ''), '\\u0001\\u0003', '\\u0002\\u0002')"
@@ -144,6 +158,8 @@ def _examples(seed: int) -> list[tuple[str, int, str | None]]:
         part = lambda k: ":".join(f"{rng.randrange(65536):x}" for _ in range(k))
         return f"{rng.choice(('fe80', 'fd00', '2001:db8', part(2)))}::{part(rng.randrange(1, 4))}"
 
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    mixed = lambda chars, k: "".join([*(rng.choice(chars) for _ in range(k - 2)), "a" if chars[0] != "A" else "A", "7"])
     plain = lambda: " ".join(word() for _ in range(5))
     pro = lambda kind: f"{plain()} {rng.choice(CONTEXT[kind])} "
     con = lambda: f"{plain()} {rng.choice(AGAINST)} "
@@ -187,6 +203,16 @@ def _examples(seed: int) -> list[tuple[str, int, str | None]]:
         (lambda: con() + rng.choice((n(7), n(10), f"{n(3)}-{n(7)}", f"{n(2)} {n(2)} {n(2)} {n(2)} {n(2)}")), None),
         (lambda: plain() + " " + rng.choice((n(7), n(8), n(10), f"{n(3)}-{n(7)}")), None),
         (lambda: plain() + f" {rng.choice(('19', '20'))}{n(2)}-{n(2)}-{n(2)}", None),
+        (lambda: pro("secret") + rng.choice(("= ", ": ", "", "is ", "= \"")) + mixed("0123456789abcdef", rng.choice((32, 40, 64))), "secret"),
+        (lambda: pro("secret") + rng.choice(("=", ": ", "", "= '")) + mixed(alnum, rng.randrange(20, 48)), "secret"),
+        (lambda: plain() + " " + rng.choice(("token", "api_key", "password", "SECRET")) + rng.choice((" = \"", "=", ": ")) + mixed(alnum, rng.randrange(18, 44)), "secret"),
+        (lambda: pro("secret") + rng.choice(("AK" + mixed(alnum[26:], 18), "sk-" + mixed(alnum, 40), "gh_" + mixed(alnum, 36))), "secret"),
+        (lambda: con() + mixed("0123456789abcdef", rng.choice((32, 40, 64))), None),
+        (lambda: plain() + " " + mixed("0123456789abcdef", rng.choice((32, 40, 64))), None),
+        (lambda: plain() + " " + "-".join(mixed("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), None),
+        (lambda: plain() + f" https://{word()}.{tld()}/{word()}/{n(4)}/{word()}-{word()}-{n(2)}", None),
+        (lambda: plain() + f" {word()}-{word()}-{word()}_{n(4)}", None),
+        (lambda: pro("secret") + f"{word()}-{word()}-{word()}-{word()}{n(1)}", None),
     ]
     return [(make() + " " + word(), int(kind is not None), kind) for _ in range(EXAMPLES) for make, kind in templates]
 
@@ -254,14 +280,40 @@ def fit(x: np.ndarray, y: np.ndarray, even: np.ndarray) -> Model:
     return Model(base, tuple(trees), tuple(thresholds))
 
 
-def train(spark: SparkSession, seed: int = SEED) -> Model:
-    """Fit on the generated examples; their features are computed by Spark."""
+#: What an address has that is meant as one.
+_DISGUISED = r"(?i)@|[(\[]at[)\]]|dot"
+
+
+def sampled(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[tuple[int, int, list[float], bool]]:
+    """(kind, label, features, held out) of proposals in a sample of documents that meet what a base pattern
+    matches: good where the match passes its check, bad where it fails. Prose with a bare ``at`` and a full
+    stop is a bad e-mail address. About ``most`` documents are read,
+    chosen and held out by a hash of doc_id and text."""
+    total = docs.where("text is not null").count()
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    some = docs.where("text is not null").select("text", mark.alias("mark")).where(mark < (1 << 30) * min(1.0, most / max(1, total)))
+    spans = {k: (good, loose) for k, good, loose in zip(KINDS, _base().values(), _base(checked=False).values(), strict=False)}
+    each = []
+    for kind, (good, loose) in spans.items():
+        like = "exists(l_, z_ -> z_.start < c_.end and c_.start < z_.end)"
+        whole = "exists(g_, z_ -> z_.start < c_.end and c_.start < z_.end)"
+        like = like if kind != "email" else f"({like} or not c_.m rlike {_lit(_DISGUISED)})"
+        found = f"transform(filter(slice({_proposed(kind, True)}, 1, {SAMPLE_SPANS}), c_ -> {like}), c_ -> named_struct('kind', c_.kind, 'f', c_.f, 'y', {whole}))"
+        each.append(let("g_", good, let("l_", loose, found)))
+    rows = some.withColumn("t0", F.expr(_T0)).select("mark", F.explode(F.expr(f"concat({', '.join(each)})")).alias("c")).select("mark", "c.*").collect()
+    return [(r.kind, int(r.y), list(r.f), r.mark % 2 == 1) for r in sorted(rows, key=lambda r: (r.mark, r.kind, r.f))]
+
+
+def train(spark: SparkSession, docs: DataFrame | None = None, seed: int = SEED) -> Model:
+    """Fit on the generated examples and, where documents are given, on examples from a sample of them."""
     data = _examples(seed)
     texts = F.split(F.lit("\x05".join(t for t, _, _ in data)), "\x05")
     rows = spark.range(1).select(F.posexplode(texts).alias("i", "text")).withColumn("t0", F.expr(_T0))
     found = rows.select("i", F.explode(F.expr(f"concat({', '.join(map(_proposed, KINDS))})")).alias("c")).select("i", "c.kind", "c.f").orderBy("i", "f").collect()
-    own = np.array([data[r.i][2] == KINDS[r.kind] for r in found], float)
-    return fit(np.array([r.f for r in found]), own, np.array([r.i * EXAMPLES // len(data) % 2 == 0 for r in found]))
+    own = [(r.kind, int(data[r.i][2] == KINDS[r.kind]), list(r.f), r.i * EXAMPLES // len(data) % 2 == 1) for r in found]
+    own += sampled(docs) if docs is not None else []
+    _, labels, features, held = zip(*own, strict=True)
+    return fit(np.array(features), np.array(labels, float), ~np.array(held))
 
 
 def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -276,7 +328,7 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     from .common import packed, unpacked
 
-    model = model or train(docs.sparkSession)
+    model = model or train(docs.sparkSession, docs)
     own = packed(docs, t0=F.expr(_T0))
     base = "array_sort(concat(" + ", ".join(f"transform({sql}, x_ -> named_struct('start', x_.start, 'kind', {KINDS.index(k)}, 'end', x_.end))" for k, sql in _base().items()) + "))"
     scored = f"transform(concat({', '.join(map(_proposed, KINDS))}), y_ -> named_struct('start', y_.start, 'kind', y_.kind, 'end', y_.end, 'score', {model.score_sql('y_.f')}))"
@@ -288,6 +340,17 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return unpacked(found, docs.columns, base=F.col("found.base"), spans=F.col("found.spans"))
 
 
+def recall(docs: DataFrame, model: Model) -> dict[str, tuple[int, int]]:
+    """By base kind: (checked base spans among the held-out examples of documents, those that the trees would
+    select as proposals): how well the trees know what the base patterns find anyway."""
+    out = {}
+    held = [x for x in sampled(docs) if x[3] and x[1]]
+    for k, kind in enumerate(KINDS[:BASE_KINDS]):
+        f = np.array([x[2] for x in held if x[0] == k])
+        out[kind] = (len(f), int((model.score(f) >= model.thresholds[k]).sum()) if len(f) else 0)
+    return out
+
+
 def spans_string(spans: str) -> str:
     """SQL string kind:start:end, comma-joined, of an array of spans."""
     names = "element_at(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), s_.kind + 1)"

@@ -30,8 +30,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(table(spark, sf_dir, "documents"))
-    counts = [F.expr(f"cast(size(filter(base, s_ -> s_.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return out.select("doc_id", *counts, F.sha2(F.expr(pii.spans_string("base")), 256).alias("base_sha256"), F.expr(pii.spans_string("spans")).alias("spans"))
+    counts = [F.expr(f"cast(size(filter(base, s_ -> s_.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[: pii.BASE_KINDS])]
+    added = [F.expr("cast(size(filter(spans, s_ -> s_.kind = 4)) as bigint)").alias("n_secret"), F.size("spans").cast("bigint").alias("n_spans")]
+    return out.select("doc_id", *counts, F.sha2(F.expr(pii.spans_string("base")), 256).alias("base_sha256"), F.expr(pii.spans_string("spans")).alias("spans"), *added)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
