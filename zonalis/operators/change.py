@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Classes that count as forest unless others are configured.
@@ -19,18 +22,19 @@ def two_years(base: DataFrame, comp: DataFrame, tile: list[str], cell: list[str]
     """Pixels of both years: tile, cell, base, comp (each a struct of the other columns; null where the
     year has no such pixel) and both_tiles, whether both years have the tile at all.
 
-    One shuffle, by tile: the years' rows are dealt together, and both the pairing of cells and the
-    tile's presence are worked out where they arrive. A tile is a bounded number of pixels.
+    The pairing is one shuffle by tile and cell, so its parallelism is that of the pixels; which tiles a
+    year has comes from a partial aggregate, one row a tile and task.
     """
     keys = [*tile, *cell]
     packs = {name: F.struct(*[c for c in df.columns if c not in keys]) for name, df in (("base", base), ("comp", comp))}
     types = {name: df.select(packs[name].alias("s")).schema["s"].dataType for name, df in (("base", base), ("comp", comp))}
     one = base.select(*keys, packs["base"].alias("base"), F.lit(None).cast(types["comp"]).alias("comp"))
     other = comp.select(*keys, F.lit(None).cast(types["base"]).alias("base"), packs["comp"].alias("comp"))
-    paired = one.unionByName(other).repartition(*tile).groupBy(*keys).agg(F.first("base", ignorenulls=True).alias("base"), F.first("comp", ignorenulls=True).alias("comp"))
-    whole = Window.partitionBy(*tile)
-    has = lambda c: F.bool_or(F.col(c).isNotNull()).over(whole)
-    return paired.withColumn("both_tiles", has("base") & has("comp"))
+    paired = one.unionByName(other).groupBy(*keys).agg(F.first("base", ignorenulls=True).alias("base"), F.first("comp", ignorenulls=True).alias("comp"))
+    years = base.select(*tile, F.lit(1).alias("_y")).unionByName(comp.select(*tile, F.lit(2).alias("_y")))
+    held = years.groupBy(*tile).agg((F.min("_y") != F.max("_y")).alias("both_tiles")).withColumnsRenamed({c: f"_{c}" for c in tile})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in tile]
+    return paired.join(held, reduce(and_, same)).drop(*[f"_{c}" for c in tile])
 
 
 def forest_change(pixels: DataFrame, keys: list[str], base: Column, comp: Column, valid: Column, area: Column | None = None) -> DataFrame:

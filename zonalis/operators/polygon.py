@@ -82,36 +82,76 @@ def centroids(edges: DataFrame) -> DataFrame:
     return whole.select("id", F.try_divide(F.col("sx"), 6 * F.col("a")).alias("x"), F.try_divide(F.col("sy"), 6 * F.col("a")).alias("y"), ((F.col("x0") + F.col("x9")) / 2).alias("mid_x"), ((F.col("y0") + F.col("y9")) / 2).alias("mid_y"))
 
 
-def crossings(edges: DataFrame, cells: int = 64) -> DataFrame:
-    """id, x, y where edges of a feature cross properly. Edges meet by the grid cells of their rows, not
-    all with all; a feature's extent is cut into ``cells`` rows."""
-    extent = edges.groupBy("id").agg(F.min(F.least("y1", "y2")).alias("_lo"), F.max(F.greatest("y1", "y2")).alias("_hi"))
-    size = F.greatest((F.col("_hi") - F.col("_lo")) / cells, F.lit(1e-12))
-    row = lambda y: F.floor((y - F.col("_lo")) / size).cast("int")
-    numbered = edges.join(extent, "id").withColumn("_e", F.xxhash64("part", "ring", "x1", "y1", "x2", "y2"))
-    cut = numbered.withColumn("_row", F.explode(F.sequence(row(F.least("y1", "y2")), row(F.greatest("y1", "y2"))))).select("id", "_row", "_e", "x1", "y1", "x2", "y2")
-    other = cut.select("id", "_row", *[F.col(c).alias(f"o{c}") for c in ("_e", "x1", "y1", "x2", "y2")])
+def meetings(edges: DataFrame) -> DataFrame:
+    """id, proper, x, y for each two edges of a feature that meet: proper with the point where they cross, or
+    not proper (x, y null) where one's end lies on the other. Edges with a common end are left out, unless
+    they cross.
+
+    Edges meet by the cells of a square grid that they pass through, not all with all. The grid has a cell's
+    side in proportion to the root of the feature's number of edges, so short edges fill few cells and long
+    ones share a cell with few others.
+    """
+    own = edges.groupBy("id").agg(
+        F.min(F.least("x1", "x2")).alias("_west"), F.max(F.greatest("x1", "x2")).alias("_east"), F.min(F.least("y1", "y2")).alias("_south"), F.max(F.greatest("y1", "y2")).alias("_north"),
+        F.least(F.lit(2048.0), F.greatest(F.lit(16.0), F.ceil(2 * F.sqrt(F.count("*"))).cast("double"))).alias("_g"),
+    )
+    wide = lambda lo, hi: F.greatest((F.col(hi) - F.col(lo)) / F.col("_g"), F.lit(1e-12))
+    numbered = edges.join(own, "id").withColumn("_e", F.xxhash64("part", "ring", "x1", "y1", "x2", "y2")).withColumn("_w", wide("_west", "_east")).withColumn("_h", wide("_south", "_north"))
+    cell = lambda v, lo, size: F.floor((v - F.col(lo)) / F.col(size)).cast("int")
+    rows = numbered.withColumn("_row", F.explode(F.sequence(cell(F.least("y1", "y2"), "_south", "_h") - 1, cell(F.greatest("y1", "y2"), "_south", "_h") + 1)))
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), F.lit(None)).otherwise(F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    slack = 1e-6 * F.col("_h")  # a row reaches a little over its edges, so that no rounding parts two edges
+    low, high = F.col("_south") + F.col("_row") * F.col("_h") - slack, F.col("_south") + (F.col("_row") + 1) * F.col("_h") + slack
+    bottom, top = F.greatest(low, F.least("y1", "y2")), F.least(high, F.greatest("y1", "y2"))
+    near = rows.where(bottom <= top)
+    a, b = F.coalesce(at(bottom), F.col("x1")), F.coalesce(at(top), F.col("x2"))
+    reach = 1e-6 * F.col("_w")
+    cut = near.withColumn("_col", F.explode(F.sequence(cell(F.least(a, b) - reach, "_west", "_w"), cell(F.greatest(a, b) + reach, "_west", "_w")))).select("id", "_row", "_col", "_e", "x1", "y1", "x2", "y2")
+    other = cut.select("id", "_row", "_col", *[F.col(c).alias(f"o{c}") for c in ("_e", "x1", "y1", "x2", "y2")])
     side = lambda ax, ay, bx, by, cx, cy: (F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax))
-    both = cut.join(other, ["id", "_row"]).where("_e < o_e")
+    over = (F.least("x1", "x2") <= F.greatest("ox1", "ox2")) & (F.greatest("x1", "x2") >= F.least("ox1", "ox2")) & (F.least("y1", "y2") <= F.greatest("oy1", "oy2")) & (F.greatest("y1", "y2") >= F.least("oy1", "oy2"))
+    both = cut.join(other, ["id", "_row", "_col"]).where((F.col("_e") < F.col("o_e")) & over)
     d1, d2 = side("x1", "y1", "x2", "y2", "ox1", "oy1"), side("x1", "y1", "x2", "y2", "ox2", "oy2")
     d3, d4 = side("ox1", "oy1", "ox2", "oy2", "x1", "y1"), side("ox1", "oy1", "ox2", "oy2", "x2", "y2")
+    proper = (d1 * d2 < 0) & (d3 * d4 < 0)
+    same = lambda i, j: (F.col(f"x{i}") == F.col(f"ox{j}")) & (F.col(f"y{i}") == F.col(f"oy{j}"))
+    joined = same(1, 1) | same(1, 2) | same(2, 1) | same(2, 2)
+    touch = ~joined & (d1 * d2 <= 0) & (d3 * d4 <= 0)
     t = d3 / (d3 - d4)
-    met = both.where((d1 * d2 < 0) & (d3 * d4 < 0))
-    return met.select("id", "_e", "o_e", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y")).distinct().select("id", "x", "y")
+    met = both.where(proper | touch).withColumn("proper", proper)
+    point = [F.when(F.col("proper"), F.col(f"{c}1") + t * (F.col(f"{c}2") - F.col(f"{c}1"))).alias(c) for c in "xy"]
+    return met.select("id", "_e", "o_e", "proper", *point).distinct().select("id", "proper", "x", "y")
+
+
+def crossings(edges: DataFrame) -> DataFrame:
+    """id, x, y where edges of a feature cross properly."""
+    return meetings(edges).where("proper").select("id", "x", "y")
 
 
 def slab_areas(edges: DataFrame) -> DataFrame:
-    """id, area by the even-odd rule, exact for crossing rings: y is cut at every vertex and crossing, and
-    the trapezoids of inside intervals are summed."""
-    ys = edges.select("id", F.col("y1").alias("y")).union(edges.select("id", "y2")).union(crossings(edges).select("id", "y")).distinct()
+    """id, area by the even-odd rule, exact for crossing rings.
+
+    A feature of one ring that neither crosses nor touches itself has the shoelace's area. Of others y is cut
+    at every vertex and crossing into slabs, every edge is dealt to the slabs between the ranks of its ends,
+    and the trapezoids of inside intervals are summed.
+    """
+    met = meetings(edges)
+    rings = edges.groupBy("id", "part", "ring").agg(F.count("*").alias("n"), F.count_distinct("x1", "y1").alias("points")).groupBy("id").agg(F.count("*").alias("rings"), F.min(F.col("n") == F.col("points")).alias("once"))
+    plain = rings.where("rings = 1 and once").join(met.select("id").distinct(), "id", "left_anti").select("id")
+    rest = edges.join(plain, "id", "left_anti")
+    ys = rest.select("id", F.col("y1").alias("y")).union(rest.select("id", "y2")).union(met.where("proper").join(plain, "id", "left_anti").select("id", "y")).distinct()
     by = Window.partitionBy("id").orderBy("y")
-    slabs = ys.withColumn("top", F.lead("y").over(by)).where("top > y")
-    within = edges.join(slabs, "id").where(F.least("y1", "y2") <= F.col("y")).where(F.greatest("y1", "y2") >= F.col("top")).where("y1 <> y2")
+    slabs = ys.withColumn("top", F.lead("y").over(by)).withColumn("rank", F.row_number().over(by))
+    place = lambda c: slabs.select("id", F.col("y").alias(c), F.col("rank").alias(f"_{c}"))
+    ranked = rest.where("y1 <> y2").join(place("y1"), ["id", "y1"]).join(place("y2"), ["id", "y2"])
+    dealt = ranked.withColumn("rank", F.explode(F.sequence(F.least("_y1", "_y2"), F.greatest("_y1", "_y2") - 1)))
+    within = dealt.join(slabs, ["id", "rank"])
     at = lambda y: F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     lines = within.select("id", "y", "top", at(F.col("y")).alias("a"), at(F.col("top")).alias("b"), at((F.col("y") + F.col("top")) / 2).alias("m"))
     order = Window.partitionBy("id", "y").orderBy("m", "a", "b")
     spans = lines.withColumn("i", F.row_number().over(order)).withColumn("a2", F.lead("a").over(order)).withColumn("b2", F.lead("b").over(order)).where("i % 2 = 1 and a2 is not null")
-    return spans.groupBy("id").agg(F.sum((F.col("a2") - F.col("a") + F.col("b2") - F.col("b")) / 2 * (F.col("top") - F.col("y"))).alias("area"))
+    cut = spans.groupBy("id").agg(F.sum((F.col("a2") - F.col("a") + F.col("b2") - F.col("b")) / 2 * (F.col("top") - F.col("y"))).alias("area"))
+    return polygon_areas(edges.join(plain, "id", "left_semi")).where("area > 0").unionByName(cut)
 
 
 def bounds(vertices: DataFrame) -> DataFrame:

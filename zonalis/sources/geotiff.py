@@ -189,15 +189,22 @@ def export(pixels: DataFrame, path: str, grid: dict, dtype: str, epsg: int = 385
     """Write pixels (row, col, v; absent or null: nodata) as one tiled file with averaged overviews.
 
     Blocks are filled and compressed by the executors; the driver strings compressed blocks together,
-    so its memory is bounded by the compressed file.
+    so its memory is bounded by the compressed file. A level is added up from the greatest earlier level that
+    divides it, as sums and counts, so the pixels themselves are read once.
     """
     kind = np.dtype(dtype)
     levels = [x for x in overviews if min(grid["rows"], grid["cols"]) // x >= 1] or [2]
     images = []
+    base = pixels.where("v is not null").groupBy("row", "col").agg(F.sum(F.col("v").cast("double")).alias("s"), F.count("*").alias("n"))
+    sums = {1: base.persist()}
     for level in (1, *levels):
         rows, cols = -(-grid["rows"] // level), -(-grid["cols"] // level)
         across, down = -(-cols // block), -(-rows // block)
-        own = pixels.where("v is not null").select(F.floor(F.col("row") / level).cast("int").alias("row"), F.floor(F.col("col") / level).cast("int").alias("col"), F.col("v").cast("double").alias("v")).groupBy("row", "col").agg(F.avg("v").alias("v"))
+        if level not in sums:
+            last = max(x for x in sums if level % x == 0)
+            step = lambda c: F.floor(F.col(c) / (level // last)).cast("int").alias(c)  # noqa: B023, E731
+            sums[level] = sums[last].groupBy(step("row"), step("col")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).persist()
+        own = sums[level].select("row", "col", (F.col("s") / F.col("n")).alias("v"))
         keyed = own.withColumn("block", (F.floor(F.col("row") / block) * across + F.floor(F.col("col") / block)).cast("int"))
 
         empty = compress_block(np.full((block, block), nodata).astype(kind))
@@ -206,6 +213,8 @@ def export(pixels: DataFrame, path: str, grid: dict, dtype: str, epsg: int = 385
             blocks[r.block] = bytes(r.data)
         images.append(((rows, cols), blocks))
     extremes = pixels.agg(F.min("v"), F.max("v")).first()
+    for held in sums.values():
+        held.unpersist()
     stats = tuple(map(float, extremes)) if extremes[0] is not None else None
     assemble(path, images, kind, grid, epsg, nodata, block, stats)
 

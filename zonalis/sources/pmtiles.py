@@ -134,16 +134,24 @@ class Archive:
         data = self.get(z, x, y)
         return None if data is None else png.decode(inflate(data, self.header["tile_compression"]))
 
-    def tiles(self) -> Iterator[tuple[int, int]]:
-        """(tile id, run length) of all entries."""
-        stack = [self.root]
+    def entries(self, offset: int, length: int) -> Iterator[tuple[int, int]]:
+        """(tile id, run length) of all entries of a leaf, and of leaves below it."""
+        stack = [(offset, length)]
         while stack:
-            for first, run, length, offset in stack.pop():
+            at, n = stack.pop()
+            for first, run, size, place in read_directory(inflate(self.ranges.read(self.header["leaf_offset"] + at, n), self.header["internal"])):
                 if run:
                     yield first, run
                 else:
-                    h = self.header
-                    stack.append(read_directory(inflate(self.ranges.read(h["leaf_offset"] + offset, length), h["internal"])))
+                    stack.append((place, size))
+
+    def tiles(self) -> Iterator[tuple[int, int]]:
+        """(tile id, run length) of all entries."""
+        for first, run, length, offset in self.root:
+            if run:
+                yield first, run
+            else:
+                yield from self.entries(offset, length)
 
 
 def write(path: str, tiles: dict[tuple[int, int, int], bytes], metadata: dict | None = None, compression: int = NONE, tile_type: int = 2, leaf: int = 0) -> None:
@@ -198,9 +206,44 @@ _ARROW = {
 }
 
 
+def box_ranges(z: int, west: int, east: int, north: int, south: int, most: int = 256) -> list[tuple[int, int]]:
+    """Ranges [first, end) of tile ids that cover the tiles of a box of x and y, inclusive, at a zoom. A square
+    of the curve is whole, empty or cut in four; beyond ``most`` squares the cut ones are taken whole."""
+    if west > east or north > south:
+        return []
+    start, out, squares = (4**z - 1) // 3, [], [(0, 0, 1 << z)]
+    while squares:
+        cut = []
+        for x, y, side in squares:
+            if x > east or y > south or x + side <= west or y + side <= north:
+                continue
+            inside = x >= west and y >= north and x + side - 1 <= east and y + side - 1 <= south
+            if inside or len(out) + len(squares) + len(cut) > most:
+                first = tile_id(z, x, y) - start
+                out.append((first - first % (side * side), side * side))  # a square is a run of the curve
+            else:
+                half = side // 2
+                cut += [(x + i * half, y + j * half, half) for i in (0, 1) for j in (0, 1)]
+        squares = cut
+    merged: list[tuple[int, int]] = []
+    for first, n in sorted(out):
+        if merged and merged[-1][1] >= start + first:
+            merged[-1] = merged[-1][0], max(merged[-1][1], start + first + n)
+        else:
+            merged.append((start + first, start + first + n))
+    return merged
+
+
+def _cut(first: int, end: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of [first, end) that lie in the ranges."""
+    return [(max(a, first), min(b, end)) for a, b in ranges if a < end and b > first]
+
+
 class TilesPartition(InputPartition):
-    def __init__(self, tiles: list[tuple[int, int, int]] | None):
-        self.tiles = tiles
+    """Entries of a directory: runs of tile ids, and leaves (offset, length) that the task reads itself."""
+
+    def __init__(self, runs: list[tuple[int, int]], leaves: list[tuple[int, int]]):
+        self.runs, self.leaves = runs, leaves
 
 
 class PMTilesSource(DataSource):
@@ -240,12 +283,63 @@ class PMTilesReader(DataSourceReader):
         tests = {"=": lambda a, b: a == b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "in": lambda a, b: a in b}
         return all(tests[op](at[name], value) for name, op, value in self.wanted)
 
+    def _bounds(self, name: str, most: int) -> tuple[int, int]:
+        """The least and greatest value that the filters on a name leave."""
+        low, high = 0, most
+        for at, op, value in self.wanted:
+            if at != name:
+                continue
+            values = list(value) if op == "in" else [value]
+            if not values:
+                return 1, 0
+            if op in ("=", ">=", ">", "in"):
+                low = max(low, min(values) + (op == ">"))
+            if op in ("=", "<=", "<", "in"):
+                high = min(high, max(values) - (op == "<"))
+        return low, high
+
+    def _ranges(self, header: dict) -> list[tuple[int, int]]:
+        """Ranges of tile ids that the filters' bounds leave."""
+        low, high = self._bounds("z", header["max_zoom"])
+        out = []
+        for z in range(max(low, header["min_zoom"]), high + 1):
+            (west, east), (north, south) = self._bounds("x", (1 << z) - 1), self._bounds("y", (1 << z) - 1)
+            out += box_ranges(z, west, east, north, south)
+        return out
+
     def partitions(self) -> list[InputPartition]:
+        """The driver reads the root directory alone: its runs are cut to the filters' ranges and dealt out by
+        ``tiles_per_task``, and a leaf that the ranges meet is a task of its own."""
         if self.mode == "header":
-            return [TilesPartition(None)]
+            return [TilesPartition([], [])]
         archive = Archive(Ranges(self.path, self.folder))
-        own = [t for first, run in archive.tiles() for i in range(run) if self._fits(t := decode_id(first + i))]
-        return [TilesPartition(own[i : i + self.each]) for i in range(0, len(own), self.each)] or [TilesPartition([])]
+        ranges = self._ranges(archive.header)
+        ends = [e[0] for e in archive.root[1:]] + [(4 ** (archive.header["max_zoom"] + 1) - 1) // 3]
+        out: list[InputPartition] = []
+        runs: list[tuple[int, int]] = []
+        for (first, run, length, offset), end in zip(archive.root, ends, strict=True):
+            for a, b in _cut(first, first + run if run else end, ranges):
+                if not run:
+                    out.append(TilesPartition([], [(offset, length)]))
+                    break
+                runs += [(i, min(i + self.each, b)) for i in range(a, b, self.each)]
+        held, n = [], 0
+        for a, b in runs:
+            if held and n + b - a > self.each:
+                out.append(TilesPartition(held, []))
+                held, n = [], 0
+            held.append((a, b))
+            n += b - a
+        return [*out, TilesPartition(held, [])] if held or not out else out
+
+    def _tiles(self, archive: Archive, partition: TilesPartition) -> Iterator[tuple[int, int, int]]:
+        ranges = self._ranges(archive.header)
+        runs = list(partition.runs)
+        for offset, length in partition.leaves:
+            for first, run in archive.entries(offset, length):
+                runs += _cut(first, first + run, ranges)
+        for a, b in runs:
+            yield from (t for i in range(a, b) if self._fits(t := decode_id(i)))
 
     def read(self, partition: TilesPartition) -> Iterator:
         archive = Archive(Ranges(self.path, self.folder))
@@ -253,7 +347,7 @@ class PMTilesReader(DataSourceReader):
             h = archive.header
             yield (self.path, TYPES.get(h["tile_type"], "unknown"), h["tile_compression"], h["min_zoom"], h["max_zoom"], sorted(archive.metadata()))
             return
-        for z, x, y in partition.tiles or []:
+        for z, x, y in self._tiles(archive, partition):
             if self.mode == "tiles":
                 yield (self.path, z, x, y, archive.get(z, x, y))
                 continue
