@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A trigram's vector binds (multiplies) its letters'
+Each letter, and each mark that stands with letters, has a random vector of +1 and -1. A trigram's vector binds (multiplies) its letters'
 vectors, the first permuted (rotated) twice and the second once. A text's profile bundles (adds) the
 vectors of its trigrams, words being padded by a boundary symbol; a language's prototype bundles the
 texts of that language. A text gets the language of greatest cosine, after the prototypes' common
@@ -9,6 +9,7 @@ part is taken off both sides.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,44 +26,50 @@ SEED = 7
 TRAIN_PER_LANG = 2000
 #: Trigram vectors that a task keeps.
 KEPT = 1 << 15
-#: Values of lang whose counts are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_LANGS = 10_000
+#: Values of lang that are learned at most, those of the most texts; 2 kB of vectors each are broadcast.
+MAX_LANGS = 10_000
 UNKNOWN = "und"
 
 
 def _letter_table() -> np.ndarray:
-    """Symbol of each code point: 0 for what is no letter, else 1 + code point mod 255."""
-    points = np.arange(0x110000)
-    letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    return np.where(letters, 1 + points % 255, 0).astype(np.uint32)
+    """By code point: 2 for a letter, 1 for a mark that stands with letters, 0 for all else."""
+    return np.fromiter((2 if (c := chr(i)).isalpha() else int(unicodedata.category(c)[0] == "M") for i in range(0x110000)), np.uint8, 0x110000)
+
+
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The random vector of each code point: bits of a mixed hash of the code point and the word's place."""
+    words = np.arange(DIMENSIONS // 64, dtype=np.uint64)[None, :] + points.astype(np.uint64)[:, None] * np.uint64(1 << 32) + np.uint64(SEED << 56)
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
+        words = (words ^ (words >> np.uint64(shift))) * np.uint64(odd)
+    words ^= words >> np.uint64(29)
+    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
 class Encoder:
     """Texts to profiles; keeps the vectors of trigrams that it has met."""
 
     def __init__(self):
-        rng = np.random.default_rng(SEED)
-        self.letters = rng.choice(np.array([-1, 1], np.int8), (256, DIMENSIONS))
-        self.symbols = _letter_table()
+        self.kinds = _letter_table()
         self._clear()
 
     def _clear(self) -> None:
-        self.index = np.full(1 << 24, -1, np.int32)
+        self.index: dict[int, int] = {}
         self.vectors = np.zeros((KEPT, DIMENSIONS), np.float32)
-        self.n = 0
 
     def _vectors(self, grams: np.ndarray) -> np.ndarray:
-        a, b, c = grams >> 16, grams >> 8 & 255, grams & 255
-        return (np.roll(self.letters, 2, 1)[a] * np.roll(self.letters, 1, 1)[b] * self.letters[c]).astype(np.float32)
+        a, b, c = (letter_vectors(grams >> np.uint64(s) & np.uint64(0x1FFFFF)) for s in (42, 21, 0))
+        return (np.roll(a, 2, 1) * np.roll(b, 1, 1) * c).astype(np.float32)
 
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Different trigrams and their counts. Runs of other characters are one boundary."""
-        s = self.symbols[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        s = np.concatenate([[0], s, [0]]).astype(np.uint32)
+        """Different trigrams (three code points of 21 bits, 0 at a boundary) and their counts. Runs of other
+        characters are one boundary; marks belong to the word; a text without a letter has none."""
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.kinds[points]
+        if not (kinds == 2).any():
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        s = np.concatenate([[0], np.where(kinds > 0, points, 0), [0]]).astype(np.uint64)
         s = s[np.concatenate([[True], (s[1:] > 0) | (s[:-1] > 0)])]
-        if len(s) < 3:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        grams = s[:-2] << 16 | s[1:-1] << 8 | s[2:]
+        grams = s[:-2] << np.uint64(42) | s[1:-1] << np.uint64(21) | s[2:]
         return np.unique(grams[s[1:-1] > 0], return_counts=True)
 
     def profile(self, text: str | None) -> np.ndarray | None:
@@ -72,16 +79,17 @@ class Encoder:
             return None
         if len(grams) > KEPT:
             return sum(counts[i : i + KEPT].astype(np.float32) @ self._vectors(grams[i : i + KEPT]) for i in range(0, len(grams), KEPT))
-        at = self.index[grams]
-        new = grams[at < 0]
-        if len(new):
-            if self.n + len(new) > KEPT:
+        get = self.index.get
+        at = np.fromiter((get(g, -1) for g in grams.tolist()), np.int64, len(grams))
+        new = at < 0
+        if n := int(new.sum()):
+            if len(self.index) + n > KEPT:
                 self._clear()
-                new = grams
-            self.vectors[self.n : self.n + len(new)] = self._vectors(new)
-            self.index[new] = np.arange(self.n, self.n + len(new))
-            self.n += len(new)
-            at = self.index[grams]
+                new, n = np.ones(len(grams), bool), len(grams)
+            places = np.arange(len(self.index), len(self.index) + n)
+            self.vectors[places] = self._vectors(grams[new])
+            self.index.update(zip(grams[new].tolist(), places.tolist(), strict=True))
+            at[new] = places
         return counts.astype(np.float32) @ self.vectors[at]
 
 
@@ -120,17 +128,15 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Prototypes:
     """Prototypes of the non-null lang values, from about per_lang texts of each (a documented sample:
     rows are counted per lang over all the data, then taken by hash at the rate that gives so many).
-    What reaches the driver is one vector a language."""
+    What reaches the driver is one vector a language, of ``MAX_LANGS`` languages at most."""
     own = docs.where("lang is not null and text is not null")
-    counts = checkpoint(own.groupBy("lang").agg(F.count("*").alias("n")))
-    if counts.count() <= BROADCAST_LANGS:
-        counts = F.broadcast(counts)
+    counts = checkpoint(own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS))
     rate = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"))
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = own.join(counts, "lang").where(hashed < rate).select("lang", "text")
+    sample = own.join(F.broadcast(counts), "lang").where(hashed < rate).select("lang", "text")
     sums = sample.mapInArrow(_bundle, "lang string, bundle array<bigint>").select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
     whole = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("v"))
-    return Prototypes({r.lang: np.array(r.v, np.float64) for r in whole.collect()})
+    return Prototypes({r.lang: np.array(r.v, np.float64) for r in whole.toLocalIterator()})
 
 
 def identify(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
@@ -141,11 +147,12 @@ def identify(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
     get the same; a null doc_id stays null; an empty table gives an empty table; other columns are not
     read. Whole texts are bundled.
     """
+    held = docs.sparkSession.sparkContext.broadcast(prototypes)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder()
         for b in batches:
-            out = [prototypes.nearest(encoder.profile(t)) for t in b.column(1).to_pylist()]
+            out = [held.value.nearest(encoder.profile(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(predict, "doc_id bigint, lang_pred string, score double")
