@@ -1,5 +1,6 @@
 """Hand-computed cases of the zonal, change, decode, polygon and job operators."""
 
+import json
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonalis.functions import decode, geo, text
-from zonalis.operators import change, jobs, legend, polygon, tiles, zonal
+from zonalis.operators import change, jobs, legend, parts, polygon, tiles, zonal
 from zonalis.plans import api, relations
 
 PIXELS = "v double, valid boolean, area double"
@@ -236,3 +237,98 @@ def test_deadline(spark):
     with pytest.raises(api.RequestError, match="timeout"):
         api.Deadline(spark, "h", -1).check()
     spark.sparkContext._jsc.sc().clearJobGroup()
+
+
+def test_meetings_and_areas_match_plain_versions(spark):
+    import random
+
+    rng = random.Random(3)
+    rings = {i: [(rng.randrange(9) + rng.random() * (i % 2), rng.randrange(9) + rng.random() * (i % 2)) for _ in range(rng.randrange(3, 12))] for i in range(40)}
+    rings[100] = [(0, 0), (2, 2), (4, 0), (4, 4), (2, 2), (0, 4)]  # touches itself in a point
+    rows = [(i, 0, 0, k, float(x), float(y)) for i, p in rings.items() for k, (x, y) in enumerate([*p, p[0]])]
+    edges = polygon.edges(spark.createDataFrame(rows, "id int, part int, ring int, seq int, x double, y double"))
+
+    def plain(ring):
+        """Even-odd area by many thin strips, exact between all vertices' and crossings' heights."""
+        e = list(zip(ring, ring[1:] + ring[:1], strict=True))
+        ys = {y for _, y in ring}
+        for i, ((a, b), (c, d)) in enumerate(e):
+            for (p, q), (r, s) in e[:i]:
+                den = (c - a) * (s - q) - (d - b) * (r - p)
+                if den:
+                    t, u = ((p - a) * (s - q) - (q - b) * (r - p)) / den, ((p - a) * (d - b) - (q - b) * (c - a)) / den
+                    if 0 < t < 1 and 0 < u < 1:
+                        ys.add(b + t * (d - b))
+        ys, area = sorted(ys), 0.0
+        for lo, hi in zip(ys, ys[1:], strict=False):
+            m = (lo + hi) / 2
+            xs = sorted(a + (m - b) * (c - a) / (d - b) for (a, b), (c, d) in e if min(b, d) < m < max(b, d))
+            area += sum(x2 - x1 for x1, x2 in zip(xs[::2], xs[1::2], strict=True)) * (hi - lo)
+        return area
+
+    got = {r.id: r.area for r in polygon.slab_areas(edges).collect()}
+    for i, ring in rings.items():
+        assert got.get(i, 0.0) == pytest.approx(plain(ring), abs=1e-6), i
+
+
+def test_large_rings_are_quick(spark):
+    import math
+    import time
+
+    n = 20_000
+    ring = [(1, 0, 0, i, math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)) for i in range(n)]
+    edges = polygon.edges(spark.createDataFrame([*ring, (1, 0, 0, n, *ring[0][4:])], "id int, part int, ring int, seq int, x double, y double"))
+    start = time.perf_counter()
+    assert polygon.slab_areas(edges).first().area == pytest.approx(math.pi, rel=1e-6)
+    assert time.perf_counter() - start < 60
+
+
+def test_parts_of_any_geometry(spark):
+    point, line = {"type": "Point", "coordinates": [7, 8]}, {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}
+    square_ = {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]}
+    flat = {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [0, 0]]]}
+    nested = {"type": "GeometryCollection", "geometries": [line, {"type": "GeometryCollection", "geometries": [{"type": "MultiPoint", "coordinates": [[3, 4], [5, 6]]}, square_]}, point]}
+    feature = lambda g: {"type": "Feature", "properties": {"a": 1}, "geometry": g}
+    texts = [nested, feature(nested), {"type": "FeatureCollection", "features": [feature(square_), feature(nested), feature(None)]}, point, line, {"type": "GeometryCollection", "geometries": []}, flat]
+    rows = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(texts)] + [(9, None), (10, "no json")], "id int, json string")
+    vertices, points = parts.split(rows, "json")
+    assert {r.id: r.n for r in vertices.where("ring = 0 and seq = 0").groupBy("id").agg(F.count("*").alias("n")).collect()} == {0: 1, 1: 1, 2: 2, 6: 1}
+    marks = {}
+    for r in points.orderBy("id", "ord").collect():
+        marks.setdefault(r.id, []).append((r.x, r.y))
+    assert marks == {i: [(3, 4), (5, 6), (7, 8)] for i in (0, 1, 2)} | {3: [(7, 8)]}
+    first = {r.id: (r.x, r.y, r.problem) for r in parts.overlay_point(points).collect()}
+    assert first == {0: (3, 4, None), 1: (3, 4, None), 2: (3, 4, None), 3: (7, 8, None)}
+    assert parts.repaired(vertices).count() == vertices.count()
+    both = vertices.where("id in (0, 6)").withColumn("id", F.lit(1)).withColumn("part", F.when(F.col("seq").isNull(), 0).otherwise(F.when(F.col("y") >= 0, F.lit(0)))).where("seq < 5")
+    assert parts.repaired(vertices.where("id = 6")).count() == 3 and both.count() > 0
+
+
+def test_area_checks(spark):
+    square_ = {"type": "Polygon", "coordinates": [[[0, 0], [0.1, 0], [0.1, 0.1], [0, 0.1], [0, 0]]]}
+    with pytest.raises(api.RequestError, match="FeatureCollection"):
+        api.aoi(spark, square_, collection=True)
+    with pytest.raises(api.RequestError, match="type"):
+        api.aoi(spark, {"type": "GeometryCollection", "geometries": [square_, {"type": "Point", "coordinates": [1, 1]}]})
+    with pytest.raises(api.RequestError, match="type"):
+        api.aoi(spark, {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": square_}, {"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 1]}}]})
+    area = api.aoi(spark, {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": square_}]}, collection=True)
+    assert api.tile_count(area, 10) >= 1
+    with pytest.raises(api.RequestError, match="more than"):
+        api.tile_count(area, 16)
+    api.same_archives({"tile_type": 2}, {"tile_type": 2})
+    with pytest.raises(api.RequestError, match="png"):
+        api.same_archives({"tile_type": 2}, {"tile_type": 1})
+
+
+def test_resource_errors_fall_back(spark, tmp_path):
+    from zonalis.sources import frames
+
+    painted = spark.createDataFrame([(1990, 0, 0, 9, 8, 7)], "year int, py int, px int, r int, g int, b int")
+    made = frames.render(painted, 4, 4, [])
+    late = api.Deadline(spark, "late", -1)
+    api.write_frames(made, str(tmp_path), {"fps": 1.0}, late)
+    assert (tmp_path / "frames.zip").exists() and not (tmp_path / "frames.tar.gz").exists()
+    with pytest.raises(api.ResourceError, match="memory"):
+        api.Deadline(spark, "full", 60, most_mb=1.0).check()
+    spark.sparkContext._jsc.sc().clearJobGroup()

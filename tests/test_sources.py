@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from zonalis.functions import decode
 from zonalis.operators import tiles
 from zonalis.plans import api
-from zonalis.sources import frames, geotiff, legends, pmtiles, png, ranges, register
+from zonalis.sources import frames, geotiff, jobfiles, legends, pmtiles, png, ranges, register
 from zonalis.streaming import limits
 
 RNG = np.random.default_rng(0)
@@ -247,3 +247,70 @@ def test_streaming_queue_and_log(spark, tmp_path):
     f.processAllAvailable()
     f.stop()
     assert spark.table("tail").count() == 2
+
+
+def test_job_files(spark, tmp_path):
+    store = jobfiles.JobFiles(tmp_path / "jobs")
+    assert store.get("a") is None and jobfiles.scan(spark, str(tmp_path)).count() == 0
+    for i, status in enumerate(["queued", "running", "failed"]):
+        store.put({"jobId": f"frames_{i}" if i else "crop_0", "status": status, "progress": i, "error": {"code": "x", "message": "é"} if i == 2 else None})
+    assert store.merge("frames_1", {"status": "succeeded", "progress": 100})["status"] == "succeeded"
+    assert store.get("frames_1")["progress"] == 100
+    with pytest.raises(FileNotFoundError):
+        store.merge("none", {})
+    with pytest.raises(ValueError):
+        store.get("../x")
+    assert sorted(p.name for p in (tmp_path / "jobs").iterdir()) == ["crop_0.json", "frames_1.json", "frames_2.json"]
+    rows = {r.jobId: r for r in jobfiles.scan(spark, str(tmp_path / "jobs")).collect()}
+    assert rows["frames_2"].error.message == "é" and {k: r.status for k, r in rows.items()} == {"crop_0": "queued", "frames_1": "succeeded", "frames_2": "failed"}
+    assert jobfiles.scan(spark, str(tmp_path / "jobs"), "frames_").count() == 2
+    files = {r.path.rsplit("/", 1)[1]: r.length for r in jobfiles.listing(spark, str(tmp_path / "jobs"), "*.json").collect()}
+    assert files["crop_0.json"] == (tmp_path / "jobs" / "crop_0.json").stat().st_size
+    (tmp_path / "big").write_bytes(bytes(range(256)) * 10)
+    assert [len(c) for c in jobfiles.chunks(str(tmp_path / "big"), 1000)] == [1000, 1000, 560]
+
+
+def test_failed_rename_leaves_no_part(tmp_path, monkeypatch):
+    def fails(self, target):
+        raise OSError("full")
+
+    monkeypatch.setattr("pathlib.Path.rename", fails)
+    r = ranges.Ranges("x", str(tmp_path), get=lambda path, offset, length: b"a" * length)
+    assert r.read(0, 5) == b"aaaaa" and not [f for f in tmp_path.rglob("*") if f.is_file()]
+
+
+def test_boundary_and_multipolygon_index(spark, tmp_path):
+    one, two = [[[0, 0], [2, 0], [2, 1], [0, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 6], [5, 5]]]
+    path = tmp_path / "b.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"tile": "m"}, "geometry": {"type": "MultiPolygon", "coordinates": [one, two]}}]}))
+    assert tuple(legends.TileIndex(spark, str(path)).frame().first()) == ("m", 0.0, 0.0, 6.0, 6.0)
+    own = legends.boundary(spark, str(path))
+    assert own.select("id").distinct().count() == 2 and own.count() == 8
+    area = lambda x, y: {"type": "Polygon", "coordinates": [[[x, y], [x + 0.1, y], [x + 0.1, y + 0.1], [x, y + 0.1], [x, y]]]}
+    assert api.aoi(spark, area(5.5, 5.5), boundary=own).area_ha > 0
+    with pytest.raises(api.RequestError, match="outside"):
+        api.aoi(spark, area(3.5, 3.5), boundary=own)
+    metres = [[[x * 111319.49079327358, y * 111325.1428663851] for x, y in ring] for ring in one]
+    path.write_text(json.dumps({"type": "Polygon", "crs": {"properties": {"name": "urn:ogc:def:crs:EPSG::3857"}}, "coordinates": metres}))
+    assert legends.boundary(spark, str(path)).agg({"x1": "max"}).first()[0] == pytest.approx(2.0)
+    path.write_text('{"type": "Point", "coordinates": [1, 2]}')
+    with pytest.raises(ValueError):
+        legends.boundary(spark, str(path))
+
+
+def test_leaves_are_read_by_tasks(spark, tmp_path):
+    path = str(tmp_path / "leaves.pmtiles")
+    image = np.zeros((2, 2, 4), np.uint8)
+    wanted = {(z, x, y) for z in (0, 3, 5) for x in range(1 << z) for y in range(1 << z)}
+    pmtiles.write(path, {t: png.encode(image) for t in wanted}, leaf=16)
+    register(spark)
+    tiles_ = spark.read.format("pmtiles").option("path", path).option("mode", "tiles").load().select("z", "x", "y")
+    assert {tuple(r) for r in tiles_.collect()} == wanted
+    box = tiles_.where("z = 5 and x >= 3 and x < 9 and y in (2, 7, 30)")
+    assert {tuple(r) for r in box.collect()} == {t for t in wanted if t[0] == 5 and 3 <= t[1] < 9 and t[2] in (2, 7, 30)}
+    reader = pmtiles.PMTilesReader({"path": path, "mode": "tiles"})
+    reader.wanted = [("z", "=", 5), ("x", ">=", 3), ("x", "<", 9), ("y", "in", (2, 3))]
+    assert 0 < len(reader.partitions()) < 20 and all(p.leaves for p in reader.partitions())
+    ids = {pmtiles.tile_id(5, x, y) for x in range(3, 9) for y in range(2, 8)}
+    assert {i for a, b in pmtiles.box_ranges(5, 3, 8, 2, 7) for i in range(a, b)} == ids
+    assert ids <= {i for a, b in pmtiles.box_ranges(5, 3, 8, 2, 7, 3) for i in range(a, b)} and pmtiles.box_ranges(5, 3, 2, 0, 1) == []

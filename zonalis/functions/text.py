@@ -70,6 +70,21 @@ def year_url(year: Column, base: str, overrides: dict[int, str] | None = None, s
     return out
 
 
+#: A yearly biomass raster's file name, and what follows it for a variable.
+RASTER_NAME = "global_agb_100m_landsat0024_all_{}_densenet_l1_agb_mosaic_100m_base_cd_ts"
+RASTER_SUFFIX = {"uncertainty": "_uncertainty_sem.tif"}
+
+
+def raster_url(year: Column, variable: Column, base: str, prefix: str = "", name: str = RASTER_NAME) -> Column:
+    """The address of a year's raster of a variable below a store's address and prefix; a variable without a
+    suffix of its own has the plain file."""
+    before, after = name.split("{}")
+    suffix = F.lit(".tif")
+    for v, end in RASTER_SUFFIX.items():
+        suffix = F.when(variable == v, F.lit(end)).otherwise(suffix)
+    return F.concat(F.lit(f"{base.rstrip('/')}/{prefix.lstrip('/')}{before}"), year.cast("string"), F.lit(after), suffix)
+
+
 def eta_seconds(progress: Column, elapsed: Column) -> Column:
     """Remaining seconds; null before the first and after the last per cent, and without elapsed time."""
     return F.when((progress > 0) & (progress < 100) & (elapsed > 0), F.bround(elapsed * (100 - progress) / progress).cast("bigint"))

@@ -133,7 +133,7 @@ def slab_areas(edges: DataFrame) -> DataFrame:
 
     A feature of one ring that neither crosses nor touches itself has the shoelace's area. Of others y is cut
     at every vertex and crossing into slabs, every edge is dealt to the slabs between the ranks of its ends,
-    and the trapezoids of inside intervals are summed.
+    and the trapezoids of inside intervals are summed. A feature that encloses nothing has no row.
     """
     met = meetings(edges)
     rings = edges.groupBy("id", "part", "ring").agg(F.count("*").alias("n"), F.count_distinct("x1", "y1").alias("points")).groupBy("id").agg(F.count("*").alias("rings"), F.min(F.col("n") == F.col("points")).alias("once"))
@@ -151,7 +151,7 @@ def slab_areas(edges: DataFrame) -> DataFrame:
     order = Window.partitionBy("id", "y").orderBy("m", "a", "b")
     spans = lines.withColumn("i", F.row_number().over(order)).withColumn("a2", F.lead("a").over(order)).withColumn("b2", F.lead("b").over(order)).where("i % 2 = 1 and a2 is not null")
     cut = spans.groupBy("id").agg(F.sum((F.col("a2") - F.col("a") + F.col("b2") - F.col("b")) / 2 * (F.col("top") - F.col("y"))).alias("area"))
-    return polygon_areas(edges.join(plain, "id", "left_semi")).where("area > 0").unionByName(cut)
+    return polygon_areas(edges.join(plain, "id", "left_semi")).unionByName(cut).where("area > 0")
 
 
 def bounds(vertices: DataFrame) -> DataFrame:

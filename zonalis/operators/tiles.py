@@ -130,3 +130,9 @@ def paint(pixels: DataFrame, cell: list[str], order: list[str], columns: list[st
 def overlay_pixel(lon: Column, lat: Column, box: dict[str, Column], width: int, height: int) -> tuple[Column, Column]:
     """Pixel of a place in a frame of lon/lat box, whose last pixel lies on the box's edge."""
     return F.bround((lon - box["west"]) / (box["east"] - box["west"]) * (width - 1)).cast("int"), F.bround((box["north"] - lat) / (box["north"] - box["south"]) * (height - 1)).cast("int")
+
+
+def mismatched_tiles(base: DataFrame, comp: DataFrame, tile: list[str], cell: tuple[str, str] = ("row", "col")) -> DataFrame:
+    """Tiles of both years whose numbers of rows or columns differ: tile, base and comp as (rows, cols)."""
+    size = lambda df, name: df.groupBy(*tile).agg(F.struct((F.max(cell[0]) + 1).alias("rows"), (F.max(cell[1]) + 1).alias("cols")).alias(name))
+    return size(base, "base").join(size(comp, "comp"), tile).where(F.col("base") != F.col("comp"))

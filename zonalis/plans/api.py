@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import random
 import time
 from collections.abc import Callable
@@ -17,13 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decode, geo, hist
-from ..operators import change, polygon, zonal
+from ..operators import change, polygon, tiles, zonal
+from ..sources import frames as files
+from ..sources.pmtiles import TYPES
 
 
 class RequestError(ValueError):
     pass
 
 
+class ResourceError(RequestError, TimeoutError):
+    """A request that ran out of time or memory."""
+
+
 @dataclass(frozen=True)
 class Settings:
     """Defaults of the service's limits and histograms."""
@@ -67,12 +74,35 @@ def thresholds(custom: list[float] | None, defaults: tuple[float, ...], most: in
     return out
 
 
-def aoi(spark: SparkSession, geojson: dict | str, settings: Settings = Settings(), square: bool = False, boundary: DataFrame | None = None) -> Aoi:
+def geometry_types(value: object) -> set[str]:
+    """Types of all geometries of a GeoJSON object, those in collections included."""
+    if not isinstance(value, dict):
+        return set()
+    kind = value.get("type")
+    if kind == "FeatureCollection":
+        return set().union(*(geometry_types(f) for f in value.get("features") or []))
+    if kind == "Feature":
+        return geometry_types(value.get("geometry"))
+    if kind == "GeometryCollection":
+        return {kind}.union(*(geometry_types(g) for g in value.get("geometries") or []))
+    return {str(kind)}
+
+
+def aoi(spark: SparkSession, geojson: dict | str, settings: Settings = Settings(), square: bool = False, boundary: DataFrame | None = None, collection: bool = False) -> Aoi:
     """Parse and check an area: payload size, type, crossings, bounds, vertices, area, and on demand the
-    square rule and that it meets a boundary (edges in lon/lat)."""
+    square rule, that it meets a boundary (edges in lon/lat), and that it comes as a FeatureCollection. An area
+    that holds anything but polygons is refused, as a whole."""
     text = geojson if isinstance(geojson, str) else json.dumps(geojson)
     if len(text.encode()) > settings.max_payload_bytes:
         raise RequestError("payload too large")
+    try:
+        body = json.loads(text)
+    except ValueError as e:
+        raise RequestError("not JSON") from e
+    if collection and not (isinstance(body, dict) and body.get("type") == "FeatureCollection"):
+        raise RequestError("not a FeatureCollection")
+    if not (kinds := geometry_types(body)) or kinds - {"Polygon", "MultiPolygon"}:
+        raise RequestError("type")
     rows = spark.createDataFrame([("aoi", text)], "id string, json string")
     vertices = polygon.parse_geojson(rows, "json").cache()
     box = polygon.bounds(vertices).first()
@@ -81,6 +111,8 @@ def aoi(spark: SparkSession, geojson: dict | str, settings: Settings = Settings(
     lonlat = polygon.edges(vertices)
     x, y = geo.to_mercator(F.col("x"), F.greatest(F.lit(-geo.MAX_LATITUDE), F.least(F.lit(geo.MAX_LATITUDE), F.col("y"))))
     metres = polygon.edges(vertices.withColumn("_x", x).withColumn("y", y).withColumn("x", F.col("_x")).drop("_x")).cache()
+    if box.n_vertices > settings.max_vertices:
+        raise RequestError("vertices")  # before the edges are compared
     area = polygon.slab_areas(metres).first()
     area_ha = (area.area if area else 0.0) / 10_000
     checked = spark.range(1).select(polygon.aoi_problem(F.lit("Polygon"), F.lit(area_ha > 0), F.lit(box.west), F.lit(box.south), F.lit(box.east), F.lit(box.north), F.lit(box.n_vertices), F.lit(area_ha / 100))).first()[0]
@@ -98,6 +130,24 @@ def aoi(spark: SparkSession, geojson: dict | str, settings: Settings = Settings(
     return Aoi(vertices, metres, area_ha, (box.west, box.south, box.east, box.north))
 
 
+def tile_count(area: Aoi, zoom: int, settings: Settings = Settings()) -> int:
+    """Tiles that cover the area's bounds; an error where there is none, or more than a request may read."""
+    box = area.vertices.sparkSession.createDataFrame([area.bounds], "west double, south double, east double, north double")
+    n = tiles.tile_cover(box.withColumn("id", F.lit(0)), F.lit(zoom)).count()
+    if not n:
+        raise RequestError("no tiles meet the area")
+    if n > settings.max_tiles:
+        raise RequestError(f"{n} tiles, more than {settings.max_tiles}")
+    return n
+
+
+def same_archives(base: dict, comp: dict) -> None:
+    """Two years' archive headers can be compared: both hold PNG tiles."""
+    kinds = [TYPES.get(h["tile_type"], "unknown") for h in (base, comp)]
+    if kinds != ["png", "png"]:
+        raise RequestError(f"tile types are {' and '.join(kinds)}, not png")
+
+
 def tile_pixels(pixels: DataFrame, area: Aoi, zoom: int, tile_size: int = 256) -> DataFrame:
     """Pixels (z, x, y, row, col, ...) of a zoom whose centre is inside the area.
 
@@ -231,17 +281,27 @@ def tolerate(results: list[tuple[object, Exception | None]], all_needed: bool) -
     return [r for r, e in results if e is None]
 
 
+def resident_mb() -> float:
+    """Memory that this process holds."""
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+
 class Deadline:
-    """Stops a request's Spark jobs after a time or on demand."""
+    """Stops a request's Spark jobs after a time, beyond so many MB of the driver's memory, or on demand."""
 
-    def __init__(self, spark: SparkSession, group: str, seconds: float):
-        self.context, self.group, self.end = spark.sparkContext, group, time.monotonic() + seconds
+    def __init__(self, spark: SparkSession, group: str, seconds: float, most_mb: float | None = None):
+        self.context, self.group, self.end, self.most_mb = spark.sparkContext, group, time.monotonic() + seconds, most_mb
         self.context.setJobGroup(group, group, interruptOnCancel=True)
 
     def check(self, cancelled: bool = False) -> None:
-        if cancelled or time.monotonic() > self.end:
+        late = time.monotonic() > self.end
+        full = self.most_mb is not None and resident_mb() > self.most_mb
+        if cancelled or late or full:
             self.context.cancelJobGroup(self.group)
-            raise RequestError("cancelled" if cancelled else "timeout")
+            if cancelled:
+                raise RequestError("cancelled")
+            raise ResourceError("timeout" if late else "memory")
 
 
 def with_fallback(primary: Callable[[], dict], second: Callable[[str], dict], resource: tuple[type[Exception], ...] = (MemoryError, TimeoutError)) -> dict:
@@ -250,3 +310,15 @@ def with_fallback(primary: Callable[[], dict], second: Callable[[str], dict], re
         return primary()
     except resource as e:
         return second(type(e).__name__)
+
+
+def write_frames(frames: DataFrame, folder: str, head: dict, deadline: Deadline | None = None) -> dict:
+    """All frames as an archive with its head; where time or memory run out, those that are made as a zip with
+    the reason."""
+
+    def whole() -> dict:
+        if deadline:
+            deadline.check()
+        return files.write_tar(frames, os.path.join(folder, "frames.tar.gz"), head)
+
+    return with_fallback(whole, lambda reason: files.write_zip(frames, os.path.join(folder, "frames.zip"), reason))

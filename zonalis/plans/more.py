@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import decode, geo, text
-from ..operators import change, legend, polygon, tiles, zonal
+from ..operators import change, legend, parts, polygon, tiles, zonal
 from . import relations as R
 from .queries import CELL, TILE, _places, query, values
 
@@ -153,9 +153,9 @@ def u04_concat_legends(spark, sf):
     return both.select((F.col("s") * 2 + F.col("i")).alias("ord"), "code")
 
 
-@query(f"with shapes as ({R.shapes_sql()}), {R.EDGES} select id, part, ring, x1, y1, x2, y2 from edges")
+@query(f"with {R.TRIANGLES}, {R.EDGES} select id, part, ring, x1, y1, x2, y2 from edges")
 def w03_ring_edges(spark, sf):
-    return polygon.edges(R.shapes(spark))
+    return polygon.edges(R.triangles(spark, sf))
 
 
 @query(f"with {R.PAIRS} select b as class_, min(tile_x * 65536 + px_row * 256 + px_col) first_, arg_min(c, (tile_x * 4 + tile_y) * 65536 + px_row * 256 + px_col) c from pairs group by 1")
@@ -173,7 +173,7 @@ QUADS = "with p as (select cast(c_custkey as bigint) id, c_custkey % 1024 as x,
 
 
 @query(f"{QUADS} select id, array_to_string([cast(((x >> (10 - i)) & 1) + 2 * ((y >> (10 - i)) & 1) as varchar) for i in generate_series(1, 10)], '') q from p")
-def s18_quadkeys(spark, sf):
+def p05b_quadkeys(spark, sf):
     k = F.col("c_custkey")
     return spark.read.parquet(f"{sf}/customer.parquet").select(k.cast("bigint").alias("id"), geo.quadkey(F.lit(10), (k % 1024).cast("int"), (k * 7 % 1024).cast("int")).alias("q"))
 
@@ -185,9 +185,46 @@ def p03_utm(spark, sf):
     return p.select("id", geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), x.alias("easting"), y.alias("northing"))
 
 
-@query()
+@query(f"with {R.TRIANGLES}, {R.EDGES}, a as (select id, abs(sum(x1 * y2 - x2 * y1)) / 2 area from edges group by id) select id, area from a where area > 0")
 def g01_slab_area(spark, sf):
-    return polygon.slab_areas(polygon.edges(R.shapes(spark)))
+    return polygon.slab_areas(polygon.edges(R.triangles(spark, sf)))
+
+
+@query(f"with shapes as ({R.shapes_sql()}), a as (select * from (values (1, 28.5::double), (2, 84.0::double), (3, 32.0::double)) t(id, area)) select id, area from a")
+def g01b_crossing_area(spark, sf):
+    return polygon.slab_areas(polygon.edges(R.shapes(spark))).select("id", F.round("area", 9).alias("area"))
+
+
+@query("select cast(c_custkey as bigint) id, 'https://store.example/agb/' || 'global_agb_100m_landsat0024_all_' || cast(1990 + c_custkey % 35 as varchar) || '_densenet_l1_agb_mosaic_100m_base_cd_ts' || case when c_custkey % 2 = 1 then '_uncertainty_sem.tif' else '.tif' end url from customer")
+def s18_raster_url(spark, sf):
+    k = F.col("c_custkey")
+    variable = F.when(k % 2 == 1, "uncertainty").otherwise("agb")
+    return spark.read.parquet(f"{sf}/customer.parquet").select(k.cast("bigint").alias("id"), text.raster_url((1990 + k % 35).cast("int"), variable, "https://store.example", "/agb/").alias("url"))
+
+
+@query(f"with {R.CELLS}, s as (select tile_x, max(px_row) + 1 r1, max(px_col) + 1 c1, max(px_row) filter (v < 45) + 1 r2, max(px_col) filter (v < 45) + 1 c2 from pixels group by 1) select tile_x, cast(r1 as int) base_rows, cast(c1 as int) base_cols, cast(r2 as int) comp_rows, cast(c2 as int) comp_cols from s where r2 is not null and (r1 <> r2 or c1 <> c2)")
+def f22_tile_sizes(spark, sf):
+    p = R.pixels(spark, sf)
+    out = tiles.mismatched_tiles(p, p.where("v < 45"), ["tile_x"], ("px_row", "px_col"))
+    return out.select("tile_x", *[F.col(f"{y}.{c}").cast("int").alias(f"{y}_{c}") for y in ("base", "comp") for c in ("rows", "cols")])
+
+
+POINTS = "select cast(c_custkey as bigint) id, c_custkey % 4 k, c_custkey % 400 - 200 x, c_custkey * 3 % 190 - 95 y from customer"
+
+
+@query(f"with p as ({POINTS}) select id, cast(x as double) x, cast(y as double) y, case when abs(x) > 180 or abs(y) > 90 then 'bounds' end problem from p where k < 3")
+def g05_overlay_point(spark, sf):
+    """Points, many points and collections by turns; every fourth feature is a polygon, which has none."""
+    p = spark.sql("select * from {t}", t=spark.read.parquet(f"{sf}/customer.parquet")).selectExpr("cast(c_custkey as bigint) id", "c_custkey % 4 k", "c_custkey % 400 - 200 x", "c_custkey * 3 % 190 - 95 y")
+    at = F.format_string("[%d,%d]", "x", "y")
+    many = F.concat(F.lit('{"type":"MultiPoint","coordinates":['), at, F.lit(",[1,2]]}"))
+    one = F.concat(F.lit('{"type":"Point","coordinates":'), at, F.lit("}"))
+    ring = F.lit('{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}')
+    both = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), ring, F.lit(","), one, F.lit("]}"))
+    shape = F.when(F.col("k") == 0, one).when(F.col("k") == 1, many).when(F.col("k") == 2, both).otherwise(ring)
+    feature = F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit("}"))
+    _, points = parts.split(p.select("id", feature.alias("json")), "json")
+    return parts.overlay_point(points)
 
 
 @query()

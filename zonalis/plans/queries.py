@@ -219,9 +219,15 @@ def a27_weighted_hist(spark, sf):
     return zonal.weighted_histogram(R.pixels(spark, sf), ["tile_x"], 50)
 
 
-@query(f"with shapes as ({R.shapes_sql()}), s as (select * from shapes where id < 3), b as (select id, (min(x) + max(x)) / 2 mid_x, (min(y) + max(y)) / 2 mid_y from s group by 1) select id, cast(case id when 1 then 14.0::double / 3 else 6 end as float) x, cast(case id when 1 then 11.5::double / 3 else 6 end as float) y, mid_x, mid_y from b")
+@query(
+    f"""with shapes as ({R.shapes_sql()}), {R.EDGES}, c as (select *, x1 * y2 - x2 * y1 k from edges),
+r as (select id, ring, sum(k) / 2 a, sum((x1 + x2) * k) sx, sum((y1 + y2) * k) sy, min(x1) x0, max(x1) x9, min(y1) y0, max(y1) y9 from c group by id, part, ring),
+t as (select *, sign(a) * case when ring = 0 then 1 else -1 end s from r),
+w as (select id, sum(s * a) a, sum(s * sx) sx, sum(s * sy) sy, (min(x0) + max(x9)) / 2 mid_x, (min(y0) + max(y9)) / 2 mid_y from t group by id)
+select id, cast(case when a <> 0 then sx / (6 * a) end as float) x, cast(case when a <> 0 then sy / (6 * a) end as float) y, mid_x, mid_y from w"""
+)
 def a28_centroid(spark, sf):
-    return polygon.centroids(polygon.edges(R.shapes(spark).where("id < 3"))).select("id", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), "mid_x", "mid_y")
+    return polygon.centroids(polygon.edges(R.shapes(spark))).select("id", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), "mid_x", "mid_y")
 
 
 @query(f"with {R.REQUESTS} select method as source, count(*) n, cast(sum(us % 1000) as bigint) bytes from requests group by 1")
@@ -243,16 +249,16 @@ def _boxes(spark):
     return values(spark, "id, west, south, east, north", BOXES).select("id", *[F.col(c).cast("double").alias(c) for c in ("west", "south", "east", "north")])
 
 
-@query(f"with {_boxes_sql('[5]')} select id, z, unnest(generate_series(cast(x0 as int), cast(x1 as int))) x, y from (select *, unnest(generate_series(cast(y0 as int), cast(y1 as int))) y from t)")
+@query(f"with {R.BOXES}, z as (select id, west, south, east, north, 5 z, pow(2.0::double, 5) n from b), {COVER} select id, z, unnest(generate_series(cast(x0 as int), cast(x1 as int))) x, y from (select *, unnest(generate_series(cast(y0 as int), cast(y1 as int))) y from t)")
 def j01_tile_cover(spark, sf):
-    return tiles.tile_cover(_boxes(spark), F.lit(5)).select("id", "z", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+    return tiles.tile_cover(R.boxes(spark, sf), F.lit(5)).select("id", "z", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
 
 
 GRID_TILES = "select 'q' || gx || '_' || gy as tile, gx * 2.0::double as west, gy * 2.0::double as south, gx * 2.0::double + 2 as east, gy * 2.0::double + 2 as north from generate_series(0, 5) a(gx), generate_series(0, 5) b(gy)"
 
 
 @query(
-    f"""with shapes as ({R.shapes_sql()}), {R.EDGES}, g as ({GRID_TILES}),
+    f"""with {R.TRIANGLES}, {R.EDGES}, g as ({GRID_TILES}),
 p as (select id, tile, west, south, east, north, x1, y1, x2, y2 from edges, g),
 s as (select *, (x2 - x1) * (south - y1) - (y2 - y1) * (west - x1) k1, (x2 - x1) * (north - y1) - (y2 - y1) * (west - x1) k2, (x2 - x1) * (south - y1) - (y2 - y1) * (east - x1) k3, (x2 - x1) * (north - y1) - (y2 - y1) * (east - x1) k4 from p),
 f as (select id, tile, bool_or(least(x1, x2) <= east and greatest(x1, x2) >= west and least(y1, y2) <= north and greatest(y1, y2) >= south and least(k1, k2, k3, k4) <= 0 and greatest(k1, k2, k3, k4) >= 0) touch,
@@ -262,7 +268,7 @@ select id, tile from f where touch or n % 2 = 1"""
 def j02_bbox_tile_join(spark, sf):
     g = spark.range(36).select(F.floor(F.col("id") / 6).alias("gx"), (F.col("id") % 6).alias("gy"))
     grid = g.select(F.concat(F.lit("q"), "gx", F.lit("_"), "gy").alias("tile"), (F.col("gx") * 2.0).alias("west"), (F.col("gy") * 2.0).alias("south"), (F.col("gx") * 2.0 + 2).alias("east"), (F.col("gy") * 2.0 + 2).alias("north"))
-    return polygon.intersecting_tiles(polygon.edges(R.shapes(spark)), grid)
+    return polygon.intersecting_tiles(polygon.edges(R.triangles(spark, sf)), grid)
 
 
 @query(
@@ -303,9 +309,9 @@ def j05_scanline_mask(spark, sf):
     return inside.groupBy(*TILE).agg(F.count("*").alias("total"), F.count_if("valid").alias("n"), F.sum("v").alias("s"))
 
 
-@query(f"with shapes as ({R.shapes_sql()}), {R.EDGES}, g as (select cast(r as int) r, cast(c as int) c from generate_series(0, 11) a(r), generate_series(0, 11) b(c)), k as (select id, r as \"row\", c as col from g, edges where least(y1, y2) <= r + 0.5 and greatest(y1, y2) > r + 0.5 and x1 + (r + 0.5::double - y1) * (x2 - x1) / (y2 - y1) <= c + 0.5 group by 1, 2, 3 having count(*) % 2 = 1) select id, \"row\", col from k")
+@query(f"with {R.TRIANGLES}, {R.EDGES}, g as (select cast(r as int) r, cast(c as int) c from generate_series(0, 11) a(r), generate_series(0, 11) b(c)), k as (select id, r as \"row\", c as col from g, edges where least(y1, y2) <= r + 0.5 and greatest(y1, y2) > r + 0.5 and x1 + (r + 0.5::double - y1) * (x2 - x1) / (y2 - y1) <= c + 0.5 group by 1, 2, 3 having count(*) % 2 = 1) select id, \"row\", col from k")
 def f01_mask_cells(spark, sf):
-    spans = polygon.scanlines(polygon.edges(R.shapes(spark)), 12, 12)
+    spans = polygon.scanlines(polygon.edges(R.triangles(spark, sf)), 12, 12)
     return spans.select("id", "row", F.explode(F.sequence("c0", F.col("c1") - 1)).alias("col"))
 
 
@@ -327,16 +333,16 @@ def j07_legend_lookup(spark, sf):
     return counts.join(F.broadcast(entries), F.col("class_").cast("string") == F.col("code"), "left").select("class_", "label", "n")
 
 
-@query(f"with {_boxes_sql('[4]')}, y as (select unnest(generate_series(1990, 2024)) as \"year\") select \"year\", id, z, x, y from y, (select id, z, y, unnest(generate_series(cast(x0 as int), cast(x1 as int))) x from (select *, unnest(generate_series(cast(y0 as int), cast(y1 as int))) y from t where id < 3)) u")
+@query(f"with {_boxes_sql('[4]')}, y as (select unnest(generate_series(1990, 2024)) as \"year\") select \"year\", id, z, x, y from y, (select id, z, y, unnest(generate_series(cast(x0 as int), cast(x1 as int))) x from (select *, unnest(generate_series(cast(y0 as int), cast(y1 as int))) y from t)) u")
 def j08_year_tile_grid(spark, sf):
-    cover = tiles.tile_cover(_boxes(spark).where("id < 3"), F.lit(4)).select("id", "z", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+    cover = tiles.tile_cover(_boxes(spark), F.lit(4)).select("id", "z", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
     return cover.withColumn("year", F.explode(F.sequence(F.lit(1990).cast("bigint"), F.lit(2024).cast("bigint"))))
 
 
-@query(f"with {R.CELLS}, d as (select distinct tile_x, tile_y from pixels where v = 50 and px_row < 20) select x as tile_x, y as tile_y from generate_series(0, 7) a(x), generate_series(0, 3) b(y) where not exists (select 1 from d where tile_x = x and tile_y = y)")
+@query(f"with {R.CELLS}, d as (select distinct tile_x, tile_y from pixels) select x as tile_x, y as tile_y from generate_series(0, 9) a(x), generate_series(0, 4) b(y) where not exists (select 1 from d where tile_x = x and tile_y = y)")
 def j09_missing_tiles_anti(spark, sf):
-    wanted = spark.range(32).select(F.floor(F.col("id") / 4).alias("tile_x"), (F.col("id") % 4).alias("tile_y"))
-    return tiles.missing_tiles(wanted, R.pixels(spark, sf).where("v = 50 and px_row < 20").select(*TILE).distinct(), TILE)
+    wanted = spark.range(50).select(F.floor(F.col("id") / 5).alias("tile_x"), (F.col("id") % 5).alias("tile_y"))
+    return tiles.missing_tiles(wanted, R.pixels(spark, sf).select(*TILE).distinct(), TILE)
 
 
 @query(f"with {R.JOBS} select k as job_id, status, case when status is null then 404 when status in ('succeeded', 'partial_success') then 200 else 409 end code from (select unnest(generate_series(1, 200)) k) left join jobs on k = job_id")

@@ -102,4 +102,27 @@ def shapes(spark: SparkSession, scale: float = 1.0) -> DataFrame:
     return spark.sql(shapes_sql(scale))
 
 
+#: A triangle for each customer on the unit grid of 12 by 12, some of them flat, and a box in lon/lat.
+TRIANGLES = """
+shapes as (select cast(c_custkey as bigint) id, 0 part, 0 ring, seq, cast(case seq when 1 then c_custkey * 5 % 9 when 2 then c_custkey * 7 % 13 else c_custkey % 12 end as double) x,
+  cast(case seq when 1 then c_custkey * 11 % 13 when 2 then c_custkey * 2 % 12 else c_custkey * 3 % 11 end as double) y from customer, (values (0), (1), (2), (3)) s(seq))"""
+BOXES = """
+boxes as (select cast(c_custkey as bigint) id, c_custkey * 7 % 3500 / 10.0::double - 180 as west, c_custkey * 11 % 1500 / 10.0::double - 80 as south from customer),
+b as (select id, west, south, west + 7.5::double as east, south + 4.25::double as north from boxes)"""
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select(k, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq"))
+    x = F.when(F.col("seq") == 1, k * 5 % 9).when(F.col("seq") == 2, k * 7 % 13).otherwise(k % 12)
+    y = F.when(F.col("seq") == 1, k * 11 % 13).when(F.col("seq") == 2, k * 2 % 12).otherwise(k * 3 % 11)
+    return rows.select(k.cast("bigint").alias("id"), F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq", x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select(k.cast("bigint").alias("id"), (k * 7 % 3500 / 10.0 - 180).alias("west"), (k * 11 % 1500 / 10.0 - 80).alias("south"))
+    return rows.select("id", "west", "south", (F.col("west") + 7.5).alias("east"), (F.col("south") + 4.25).alias("north"))
+
+
 EDGES = "edges as (select id, part, ring, x x1, y y1, lead(x) over w x2, lead(y) over w y2 from shapes window w as (partition by id, part, ring order by seq) qualify x2 is not null)"

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import legend
+from ..functions import geo, text
+from ..operators import legend, parts, polygon
 
 ENTRIES = "class_code string, label string, color string, ord bigint"
 
@@ -76,14 +76,34 @@ class TileIndex:
     def frame(self) -> DataFrame:
         """tile, west, south, east, north."""
         if self.rows is None or time.monotonic() - self.read_at > self.ttl:
-            schema = f"features array<struct<properties:struct<{self.name}:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
+            schema = f"features array<struct<properties:struct<{self.name}:string>,geometry:struct<type:string,coordinates:string>>>"
             rows = self.spark.read.schema(schema).json(self.path, multiLine=True).select(F.explode("features").alias("f"))
-            points = rows.select(F.col("f.properties").getField(self.name).alias("tile"), F.explode(F.get("f.geometry.coordinates", F.lit(0))).alias("p"))
+            one = F.array(F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))
+            many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
+            parts = F.when(F.col("f.geometry.type") == "Polygon", one).when(F.col("f.geometry.type") == "MultiPolygon", many)
+            outer = rows.select(F.col("f.properties").getField(self.name).alias("tile"), F.explode(parts).alias("rings"))
+            points = outer.select("tile", F.explode(F.get("rings", F.lit(0))).alias("p"))
             x, y = F.get("p", F.lit(0)), F.get("p", F.lit(1))
             self.rows = points.groupBy("tile").agg(F.min(x).alias("west"), F.min(y).alias("south"), F.max(x).alias("east"), F.max(y).alias("north")).cache()
             self.read_at = time.monotonic()
         return self.rows
 
 
+def boundary(spark: SparkSession, path: str) -> DataFrame:
+    """Edges (id, part, ring, x1, y1, x2, y2) in lon/lat of a boundary file's polygons, each with an id of its own:
+    what meets any of them meets their union. Coordinates in EPSG:3857, where the file says so, are turned into
+    lon/lat. A file without polygons is an error."""
+    text_ = spark.read.text(path, wholetext=True).select(F.lit(0).alias("id"), F.col("value").alias("json"))
+    metres = F.get_json_object("json", "$.crs.properties.name").rlike("3857")
+    own = text_.withColumn("metres", F.coalesce(metres, F.lit(False)))
+    vertices, _ = parts.split(own, "json")
+    if vertices.isEmpty():
+        raise ValueError(f"{path} holds no polygon")
+    if own.first()["metres"]:
+        lon, lat = geo.from_mercator(F.col("x"), F.col("y"))
+        vertices = vertices.select("id", "part", "ring", "seq", lon.alias("x"), lat.alias("y"))
+    return polygon.edges(vertices.withColumn("id", F.col("part")))
+
+
 def in_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("i", F.row_number().over(Window.orderBy("ord")) - 1)

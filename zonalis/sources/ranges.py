@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import os
-import tempfile
 import urllib.request
+import uuid
 from collections import OrderedDict
+from contextlib import suppress
+from pathlib import Path
 
 
 class RangeError(ValueError):
@@ -56,29 +58,30 @@ class Ranges:
             self.kept.popitem(last=False)
         return data
 
-    def _file(self, key: tuple[int, int]) -> str:
-        return os.path.join(self.folder, f"{key[0]}_{key[1]}.bin")
+    def _file(self, key: tuple[int, int]) -> Path | None:
+        return self.folder and Path(self.folder, f"{key[0]}_{key[1]}.bin")
 
     def _cached(self, key: tuple[int, int]) -> bytes | None:
-        if not self.folder:
+        """A stored range of the right length."""
+        file = self._file(key)
+        if file is None or not file.is_file() or file.stat().st_size != key[1]:
             return None
-        try:
-            with open(self._file(key), "rb") as f:
-                data = f.read()
-        except OSError:
-            return None
-        return data if len(data) == key[1] else None
+        with suppress(OSError):
+            return file.read_bytes()
 
     def _store(self, key: tuple[int, int], data: bytes) -> None:
-        if not self.folder:
+        """Store a range whole or not at all; a part that could not be renamed is removed."""
+        file = self._file(key)
+        if file is None:
             return
-        try:
-            os.makedirs(self.folder, exist_ok=True)
-            with tempfile.NamedTemporaryFile(dir=self.folder, delete=False) as f:
-                f.write(data)
-            os.replace(f.name, self._file(key))
-        except OSError:
-            pass
+        part = file.with_suffix(f".{os.getpid()}.{uuid.uuid4().hex}")
+        with suppress(OSError):
+            try:
+                file.parent.mkdir(parents=True, exist_ok=True)
+                part.write_bytes(data)
+                part.rename(file)
+            finally:
+                part.unlink(missing_ok=True)
 
 
 def prewarm(paths: list[str], folder: str, read) -> list[dict]:
