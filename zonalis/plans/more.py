@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import decode, geo, text
 from ..operators import change, legend, parts, polygon, tiles, zonal
 from . import relations as R
-from .queries import CELL, TILE, _places, query, values
+from .queries import CELL, PLACES, TILE, _micro, _places, query, values
 
 CLASS_LIST = "(3), (5), (76)"
 
@@ -178,11 +178,26 @@ def p05b_quadkeys(spark, sf):
     return spark.read.parquet(f"{sf}/customer.parquet").select(k.cast("bigint").alias("id"), geo.quadkey(F.lit(10), (k % 1024).cast("int"), (k * 7 % 1024).cast("int")).alias("q"))
 
 
-@query()
+def _utm_sql() -> str:
+    """The third-order series, its constants worked out here."""
+    n = geo.FLATTENING / (2 - geo.FLATTENING)
+    radius = geo.A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240
+    e = 2 * n**0.5 / (1 + n)
+    term = lambda f, g: " + ".join(f"{a!r}::double * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    scale = f"{geo.K0 * radius!r}::double"
+    return f"""t as (select *, sinh(atanh(sin(radians(lat))) - {e!r}::double * atanh({e!r}::double * sin(radians(lat)))) t, radians(lon - (floor((lon + 180) / 6) * 6 - 177)) d from p),
+u as (select *, atan2(t, cos(d)) xi, atanh(sin(d) / sqrt(1 + t * t)) eta from t)
+select id, cast(case when lat >= 0 then 32600 else 32700 end + floor((lon + 180) / 6) + 1 as int) epsg,
+  cast(floor((500000 + {scale} * (eta + {term('cos', 'sinh')})) * 1000 + 0.5) as bigint) easting_mm,
+  cast(floor((case when lat < 0 then 10000000 else 0 end + {scale} * (xi + {term('sin', 'cosh')})) * 1000 + 0.5) as bigint) northing_mm from u"""
+
+
+@query(f"with p as ({PLACES}), {_utm_sql()}")
 def p03_utm(spark, sf):
     p = _places(spark, sf)
     x, y = geo.to_utm(F.col("lon"), F.col("lat"))
-    return p.select("id", geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), x.alias("easting"), y.alias("northing"))
+    return p.select("id", geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), _micro(x).alias("easting_mm"), _micro(y).alias("northing_mm"))
 
 
 @query(f"with {R.TRIANGLES}, {R.EDGES}, a as (select id, abs(sum(x1 * y2 - x2 * y1)) / 2 area from edges group by id) select id, area from a where area > 0")
@@ -227,9 +242,17 @@ def g05_overlay_point(spark, sf):
     return parts.overlay_point(points)
 
 
-@query()
+@query(
+    f"""with {R.TRIANGLES}, {R.EDGES}, e as (select *, least(y1, y2) lo, greatest(y1, y2) hi from edges),
+r as (select *, unnest(generate_series(cast(floor(lo) as int), cast(least(11, floor(hi)) as int))) as "row" from e),
+s as (select *, case when y1 = y2 then x1 else x1 + (greatest("row", lo) - y1) * (x2 - x1) / (y2 - y1) end a, case when y1 = y2 then x2 else x1 + (least("row" + 1, hi) - y1) * (x2 - x1) / (y2 - y1) end b from r),
+l as (select "row", unnest(generate_series(cast(floor(least(a, b)) as int), cast(least(11, floor(greatest(a, b))) as int))) as col from s),
+g as (select cast(r as int) r, cast(c as int) c from generate_series(0, 11) a(r), generate_series(0, 11) b(c)),
+k as (select id, r, c from g, edges where least(y1, y2) <= r + 0.5 and greatest(y1, y2) > r + 0.5 and x1 + (r + 0.5::double - y1) * (x2 - x1) / (y2 - y1) <= c + 0.5 group by 1, 2, 3 having count(*) % 2 = 1)
+select "row", col from l union select r, c from k"""
+)
 def f02_all_touched(spark, sf):
-    return polygon.all_touched(polygon.edges(R.shapes(spark)), 12, 12)
+    return polygon.all_touched(polygon.edges(R.triangles(spark, sf)), 12, 12)
 
 
 @query(f"with {R.CELLS}, b as (select * from pixels where v > 25) select count(*) n from b where not exists (select 1 from pixels p where p.tile_x = b.tile_x and p.tile_y = b.tile_y and p.px_row = b.px_row and p.px_col = b.px_col and p.v < 30)")

@@ -634,7 +634,13 @@ def k08_log_tail(spark, sf):
     return jobs.log_tail(R.requests(spark, sf).select(F.col("event_id").alias("seq"), F.col("method").alias("message")), 200)
 
 
-@query()
+@query(
+    f"""with recursive {R.REQUESTS.strip()}, m as (select event_id, ip, us, row_number() over (partition by ip order by us, event_id) i from requests where method in ('POST', 'PUT', 'PATCH', 'DELETE')),
+r(ip, i, event_id, kept, ok) as (select ip, i, event_id, [us], true from m where i = 1 union all
+  select ip, i, event_id, case when len(kept) < 20 then list_append(kept, us) else kept end, len(kept) < 20 from
+    (select m.ip, m.i, m.event_id, m.us, list_filter(r.kept, lambda k: m.us - k <= 86400000000) kept from r join m on m.ip = r.ip and m.i = r.i + 1))
+select event_id, ok admitted from r"""
+)
 def r01_rate_limiter(spark, sf):
     return jobs.rate_limited(R.requests(spark, sf), "ip", 20, 86_400)
 
