@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import regex
 import xxhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, q int, _d string, _docs string, key string"
@@ -86,3 +87,129 @@ def line_dedup(docs, min_docs=10, keep_first=False):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+#: Plain copies of the line rules' word and mark lists.
+PHRASES = "all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|privacy policy|datenschutzerklärung|politique de confidentialité|política de privacidad|terms of use|terms of service|nutzungsbedingungen|conditions d’utilisation|términos de uso|use cookies|cookie policy|verwendet cookies|utilise des cookies|utiliza cookies|enable javascript|lorem ipsum|newsletter|click here to|share this article|skip to content".split("|")
+
+
+def line_fails(line):
+    w = WORDS.findall(line)
+    n, bare = len(w), "".join(w)
+    separators = sum(c in "|›»•·" for c in line)
+    return n > 0 and (
+        (n <= 3 and bare[-1] not in ".!?…:;。！？\"'”’»)]")
+        or 2 * sum(c in "#*$%&|<>" for c in line) >= n
+        or (separators > 0 and n - separators <= 3 * (separators + 1))
+        or (n >= 3 and 2 * line.count("!") >= n)
+        or (n >= 3 and not regex.search(r"\p{Ll}", line) and bool(regex.search(r"\p{Lu}", line)))
+        or (n >= 3 and 2 * len(regex.findall(r"[\p{L}\p{M}\p{N}]", bare)) < len(bare))
+        or (n >= 3 and 2 * sum(bool(re.fullmatch(r"[0-9][0-9.,:/%-]*", x)) for x in w) > n)
+        or 2 * len(re.findall(r"://|www\.", line)) >= n
+        or (n <= 12 and any(p in line.lower() for p in PHRASES))
+    )
+
+
+def clean(text):
+    """The text that stays, or None if the document is rejected."""
+    n, chars, _, _, repeated = quality(text)
+    if n < 50 or 100 * repeated > 50 * n:
+        return None
+    stay = "\n".join(x for x in text.split("\n") if not line_fails(x))
+    return stay if 10 * (chars - len("".join(WORDS.findall(stay)))) <= 3 * chars else None
+
+
+def near_pairs(texts):
+    """Pairs of texts with a five-word similarity of 0.8 or more, all pairs compared."""
+    sets = []
+    for t in texts:
+        w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 5 * len(a & b) >= 4 * len(a | b)}
+
+
+def near_stage(texts):
+    """doc_id -> text: the least doc_id of each component, then long lines but their first occurrence."""
+    ids, pairs = sorted(texts), near_pairs([texts[d] for d in sorted(texts)])
+    least = list(range(len(ids)))
+    while (now := [min([least[i], *(least[a + b - i] for a, b in pairs if i in (a, b))]) for i in range(len(ids))]) != least:
+        least = now
+    kept = {ids[i]: texts[ids[i]] for i in set(least)}
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(list)
+    for d in sorted(kept):
+        for p, x in enumerate(kept[d].split("\n")):
+            if len(WORDS.findall(x)) > 50:
+                holders[key(x)].append((d, p))
+    gone = {at for v in holders.values() if len({d for d, _ in v}) > 1 for at in v[1:]}
+    return {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in gone) for d, t in kept.items()}
+
+
+def tokens(text):
+    return re.findall(r"\w+", (text or "").lower())
+
+
+def tiles(item, text, k=5):
+    """Greedy tiles, written plainly: the longest first, then by place in the item and in the text."""
+    a, b = tokens(item), tokens(text)
+    k = min(k, len(a))
+    used_a, used_b, out = set(), set(), []
+    while k:
+        best = (k - 1, 0, 0)
+        for p in range(len(a)):
+            for t in range(len(b)):
+                n = 0
+                while p + n < len(a) and t + n < len(b) and a[p + n] == b[t + n] and p + n not in used_a and t + n not in used_b:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, t)
+        n, p, t = best
+        if n < k:
+            break
+        used_a.update(range(p, p + n))
+        used_b.update(range(t, t + n))
+        out.append((p, t, n))
+    return out
+
+
+def contaminated(text, items):
+    """Whether tiles cover 60 % of an item's tokens. Items without a common window have no tile."""
+    b = tokens(text)
+    for item in items:
+        a = tokens(item)
+        k = min(5, len(a))
+        seen = {tuple(b[i : i + k]) for i in range(len(b) - k + 1)}
+        if k and any(tuple(a[i : i + k]) in seen for i in range(len(a) - k + 1)) and 10 * sum(n for _, _, n in tiles(item, text)) >= 6 * len(a):
+            return True
+    return False
+
+
+def water(sizes):
+    """Targets by resharing what is above, again and again. sizes: in the order of the sources."""
+    total, full = sum(sizes), set()
+    while True:
+        left = total - sum(3 * sizes[i] for i in full)
+        weights = {i: (5, 2, 1)[i % 3] for i in range(len(sizes)) if i not in full}
+        goal = [3 * s if i in full else left * weights[i] / sum(weights.values()) for i, s in enumerate(sizes)]
+        above = {i for i in weights if goal[i] > 3 * sizes[i]}
+        if not above:
+            return goal
+        full |= above
+
+
+def mixture(texts, source):
+    """(doc_id, text) -> copies: a boundary crossed by rate times rank plus offset is a copy."""
+    own = defaultdict(list)
+    for d, t in texts.items():
+        own[source[d]].append((len(WORDS.findall(t)), d))
+    names = sorted(own, key=lambda s: (s is None, s or ""))
+    out = {}
+    for s, goal in zip(names, water([sum(n for n, _ in own[s]) for s in names]), strict=True):
+        size = sum(n for n, _ in own[s])
+        rate = min(3.0, goal / size) if size else 0.0
+        offset = int(hashlib.md5(("mix-1" + (s if s is not None else "\0")).encode()).hexdigest()[:8], 16) / 2**32
+        for rank, (_, d) in enumerate(sorted(own[s]), 1):
+            copies = min(3, int(rate * rank + offset) - int(rate * (rank - 1) + offset))
+            if copies:
+                out[d, texts[d]] = copies
+    return out

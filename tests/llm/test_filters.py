@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonalis.llm import decontamination, linededup, mixing, neardup, quality, simhash
+from zonalis.llm import common, decontamination, linededup, mixing, neardup, quality, simhash
 
 from . import helpers
 
@@ -38,6 +38,15 @@ def test_quality_lines(spark):
     assert out[0].clean_text == prose
 
 
+def test_quality_rules_by_line(spark):
+    bad = ["One | Two | Three", "Home › News", "# # a", "so! so! so!", "ALL OF IT LOUD.", "12 34.5 6,7 items", "« - » - x y.", "see http://a.b www.c.d", "We use cookies here.", "Alle Rechte vorbehalten.", "Read more", "Wow" + "A" * 5000]
+    good = ["A short end.", "Is it so?", "She ate a cookie and kept to herself.", "In 1984 there were 3 of them.", "He said: “no!”", "Über den Wolken ist es still.", "ÉTÉ comme hiver.", "", " \t", "A" * 5000 + "a."]
+    prose = " ".join(f"wort{i}x" for i in range(400)) + "."
+    texts = [prose + "\n" + x for x in bad + good]
+    out = quality.quality_rules(helpers.frame(spark, [(i, t, *[None] * 7) for i, t in enumerate(texts)])).orderBy("doc_id").select("q.*").collect()
+    assert [r.clean_text for r in out] == [prose] * len(bad) + texts[len(bad) :]
+
+
 def test_quality_keeps_good_and_rejects_bad(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     out = quality.quality_rules(docs).where("q.n_words >= 50 and not q.base_failed").groupBy("quality", "q.kept").count().collect()
@@ -97,7 +106,9 @@ def test_simhash_groups(spark):
     assert sorted(tuple(r) for r in simhash.simhash_groups(docs).collect()) == helpers.components(pairs(spark))
 
 
-def test_links_give_all_components(spark):
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 1])
+def test_links_give_all_components(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rng = random.Random(3)
     values = {rng.getrandbits(64) for _ in range(300)}
     for v in list(values)[:60]:
@@ -106,6 +117,7 @@ def test_links_give_all_components(spark):
             for _ in range(rng.choice([1, 2, 2, 3])):
                 chain ^= 1 << rng.randrange(64)
             values.add(chain)
+    values |= {0x1234567800000000 | rng.getrandbits(7) << 20 for _ in range(90)} | {rng.getrandbits(6) << 40 | 0x9ABC for _ in range(50)}
     own = sorted(v - 2**64 if v >= 2**63 else v for v in values)
     edges = simhash.links(spark.createDataFrame([(v,) for v in own], "fp bigint"))
     assert edges.where("bit_count(a ^ b) > 2").count() == 0
@@ -127,15 +139,6 @@ def test_components_of_long_chains(spark):
     assert all(roots[i] == 0 for i in range(1, 201)) and all(roots[i] == 1000 for i in range(1001, 1300))
 
 
-def near_copies(texts):
-    """Pairs of texts with a five-word similarity of 0.8 or more, all pairs compared."""
-    sets = []
-    for t in texts:
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
-        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 5 * len(a & b) >= 4 * len(a | b)}
-
-
 @pytest.mark.parametrize("chunk", [neardup.CHUNK, 300])
 def test_near_dedup_links_similar_texts(spark, monkeypatch, chunk):
     monkeypatch.setattr(neardup, "CHUNK", chunk)
@@ -147,7 +150,7 @@ def test_near_dedup_links_similar_texts(spark, monkeypatch, chunk):
             for at in rng.sample(range(len(words)), edits):
                 words[at] = "new"
             texts.append(" ".join(words))
-    pairs = near_copies(texts)
+    pairs = helpers.near_pairs(texts)
     least = list(range(len(texts)))
     while (now := [min([least[i], *(least[a + b - i] for a, b in pairs if i in (a, b))]) for i in range(len(texts))]) != least:
         least = now
@@ -172,47 +175,12 @@ def test_near_stage_matches_brute_force(spark):
     import corpus_pipeline
 
     docs = corpus_pipeline.line_stage(spark, corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), SF).checkpoint()
-    texts = dict(sorted((r.doc_id, r.text) for r in docs.collect()))
-    ids, pairs = list(texts), near_copies(texts.values())
-    least = list(range(len(ids)))
-    while (now := [min([least[i], *(least[a + b - i] for a, b in pairs if i in (a, b))]) for i in range(len(ids))]) != least:
-        least = now
-    kept = {ids[i]: texts[ids[i]] for i in set(least)}
-    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
-    holders = defaultdict(list)
-    for d in sorted(kept):
-        for p, x in enumerate(kept[d].split("\n")):
-            if len(helpers.WORDS.findall(x)) > 50:
-                holders[key(x)].append((d, p))
-    gone = {at for v in holders.values() if len({d for d, _ in v}) > 1 for at in v[1:]}
-    want = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in gone) for d, t in kept.items()}
-    assert len(kept) < len(texts) and gone
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = helpers.near_stage(texts)
+    assert len(want) < len(texts) and any(want[d] != texts[d] for d in want)
     assert {r.doc_id: r.text for r in corpus_pipeline.near_stage(spark, docs, SF).collect()} == want
 
 
-def brute_tiles(item, text, k=5):
-    """Greedy tiles, written plainly: the longest first, then by place in the item and in the text."""
-    a, b = decontamination.tokens(item), decontamination.tokens(text)
-    k = min(k, len(a))
-    used_a, used_b, out = set(), set(), []
-    while k:
-        best = (k - 1, 0, 0)
-        for p in range(len(a)):
-            for t in range(len(b)):
-                n = 0
-                while p + n < len(a) and t + n < len(b) and a[p + n] == b[t + n] and p + n not in used_a and t + n not in used_b:
-                    n += 1
-                if n > best[0]:
-                    best = (n, p, t)
-        n, p, t = best
-        if n < k:
-            break
-        used_a.update(range(p, p + n))
-        used_b.update(range(t, t + n))
-        out.append((p, t, n))
-    return out
-
-
 def test_tiling_matches_brute_force():
     rng = random.Random(5)
     for i in range(200):
@@ -220,7 +188,7 @@ def test_tiling_matches_brute_force():
         words = item.split()
         cut = rng.randrange(len(words))
         text = " ".join([*[rng.choice("abxy") for _ in range(9)], *words[cut:], "zz", *words[:cut], *[rng.choice("abcd") for _ in range(12)]])
-        want = brute_tiles(item, text)
+        want = helpers.tiles(item, text)
         assert decontamination.tiles(decontamination.hashed(item), decontamination.hashed(text), min(5, len(words))) == want
         covered = sum(n for _, _, n in want)
         rows = [(1, 7, covered / len(words), len(want), covered)] if covered >= decontamination.THRESHOLD * len(words) else []
@@ -276,25 +244,12 @@ def test_contamination_blocks_agree(spark, monkeypatch):
     assert {d for d, t in texts.items() for x in items.values() if x in t} <= {r[0] for r in whole}
 
 
-def water(sizes):
-    """Targets by resharing what is above, again and again. sizes: in the order of the sources."""
-    total, full = sum(sizes), set()
-    while True:
-        left = total - sum(3 * sizes[i] for i in full)
-        weights = {i: (5, 2, 1)[i % 3] for i in range(len(sizes)) if i not in full}
-        goal = [3 * s if i in full else left * weights[i] / sum(weights.values()) for i, s in enumerate(sizes)]
-        above = {i for i in weights if goal[i] > 3 * sizes[i]}
-        if not above:
-            return goal
-        full |= above
-
-
 def test_targets(spark):
     rng = random.Random(1)
     for sizes in [[1], [0], [5, 5, 5], [100, 1, 0, 3], *[[rng.choice([0, 1, 10, 1000, 50000]) for _ in range(rng.randrange(1, 12))] for _ in range(6)]]:
         names = [f"s{i:02d}" for i in range(len(sizes) - 1)] + [None]
         out = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size bigint")).collect()}
-        assert [out[n] for n in names] == pytest.approx(water(sizes))
+        assert [out[n] for n in names] == pytest.approx(helpers.water(sizes))
 
 
 def test_mixing(spark):
@@ -319,39 +274,47 @@ def test_mixing_meets_targets(spark):
         assert abs(r.taken - r.target) <= max(0.02 * r.target, 2 * r.most)
 
 
-def test_pipeline(spark):
+def test_pipeline_matches_plain_stages(spark):
+    """Every stage written plainly, one after the other."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = corpus_pipeline.run(spark, SF)
-    assert got.columns == [*docs.columns, "copy"]
     rows = {r.doc_id: r for r in docs.collect()}
-    texts = {r.doc_id: r.text for r in quality.clean_documents(docs).collect()}
-    passed = {r.doc_id for r in quality.quality_rules(docs).where("q.kept").collect()}
-    assert set(texts) == passed
+    texts = {d: t for d, r in rows.items() if (t := helpers.clean(r.text)) is not None}
     texts = {d: t for d, _, _, t in helpers.line_dedup(list(texts.items()), keep_first=True)}
-    texts = {d: t for d, t in texts.items() for _, f, c in [next(x for x in COMPONENTS(texts) if x[0] == d)] if c == d}
+    texts = helpers.near_stage(texts)
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    block = decontamination.Block(list(enumerate(items)))
-    texts = {d: t for d, t in texts.items() if not list(block.matches([(d, t)]))}
+    texts = {d: t for d, t in texts.items() if not helpers.contaminated(t, items)}
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == [*docs.columns, "copy"]
     out = got.collect()
-    assert {(r.doc_id, r.text) for r in out} <= set(texts.items())
-    words = defaultdict(lambda: [0, 0])
-    for d, t in texts.items():
-        words[rows[d].source][0] += len(re.findall(r"\S+", t))
-    for r in out:
-        words[r.source][1] += len(re.findall(r"\S+", r.text))
-    sources = sorted(words)
-    for s, goal in zip(sources, water([words[s][0] for s in sources]), strict=True):
-        most = max(len((rows[d].text or "").split()) for d in texts if rows[d].source == s)
-        assert abs(words[s][1] - goal) <= 2 * most
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(helpers.mixture(texts, {d: r.source for d, r in rows.items()}))
+    assert all((r.lang, r.source, r.n_chars) == (rows[r.doc_id].lang, rows[r.doc_id].source, len(r.text)) for r in out)
 
 
-_known = {}
-
+def test_stages_take_awkward_rows(spark):
+    """Null, empty, repeated and clashing rows pass every stage, and so does an empty table."""
+    import corpus_pipeline
 
-def COMPONENTS(texts):
-    key = tuple(sorted(texts.items()))
-    if key not in _known:
-        _known[key] = helpers.components(list(texts.items()))
-    return _known[key]
+    for data in (helpers.frame(spark), helpers.frame(spark, [])):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, data, SF)
+            assert out.columns == data.columns + (["copy"] if name == "mixing" else [])
+            n = out.count()
+            assert n == 0 if data.isEmpty() else n > 0
+    texts = Counter(r[:2] for r in helpers.rows())
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.quality_stage(spark, helpers.frame(spark), SF).collect())
+    assert kept == Counter({(d, c): n for (d, t), n in texts.items() if (c := helpers.clean(t)) is not None})
+
+
+def test_touched_and_hot_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7 if i % 2 else 100, i) for i in range(3000)], "k bigint, v bigint")
+    names = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.col("k") * 2)
+    want = Counter((r.k, r.v, r.k * 2) for r in rows.collect())
+    assert Counter(map(tuple, common.join_spread(rows, names, "k").collect())) == want
+    assert common.join_spread(rows.limit(0), names.limit(0), "k").count() == 0
+    some = spark.createDataFrame([(100,), (None,)], "h bigint")
+    for n in (common.BUCKETS, 1):
+        monkeypatch.setattr(common, "BUCKETS", n)
+        hit, rest = common.split_touched(rows, "k", some, "h")
+        assert hit.union(rest).count() == 3000 and rest.where("k = 100").count() == 0

@@ -88,6 +88,18 @@ def test_pii_model_selects(spark):
     assert tp / sum(got.values()) >= 0.97 and tp / sum(y for _, y in held) >= 0.8
 
 
+def test_secrets_and_examples_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 3 = 0")
+    model = pii.train(spark, docs)
+    found = pii.recall(docs, model)
+    assert all(hit >= 0.9 * n for n, hit in found.values()) and sum(n for n, _ in found.values()) > 20, found
+    planted = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    seen = [((m.start(1), 4, m.end(1)) in {tuple(s) for s in r.spans}) for r in pii.find_pii(docs, model).select("text", "spans").collect() for m in planted.finditer(r.text or "")]
+    assert len(seen) > 20 and sum(seen) >= 0.95 * len(seen)
+    plain = ["see commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b today", "a well-known-but-long-word-2024 here", "https://example.com/news/2024/long-title-of-page-12"]
+    assert not any(r.spans for r in pii.find_pii(helpers.frame(spark, [(i, t, *NONE) for i, t in enumerate(plain)]), model).collect())
+
+
 def test_pii_proposals_are_wide(spark):
     spans = {
         "jane@example(dot)com": 0, "jane@example[dot]com": 0, "jane @ example.com": 0, "jane at example.com": 0, "fe80::1ff:fe23:4567": 1, "2001:db8::1": 1,
@@ -129,6 +141,47 @@ def test_truncated_pages():
         assert "<" not in html.extract(PAGE[:i]).replace("<p>no</p>", "")
 
 
+def test_noise_is_a_whole_word_and_never_the_article():
+    article = "<article><h1>Head</h1><p>Words of the story.</p></article>"
+    for wrap in ("layout with-sidebar", "sidebar-layout", "has-cookie-notice", "menu", "promo"):
+        assert html.extract(f'<div class="{wrap}">{article}</div>') == "Head\nWords of the story."
+    assert html.extract('<article><header class="entry-header"><h1>Title</h1></header><p>Words.</p></article>') == "Title\nWords."
+    assert html.extract('<div class="post" data-id="comments"><p>Words.</p></div>') == "Words."
+    assert html.extract('<div class="post" title="see id=footer ok"><p>Words.</p></div>') == "Words."
+    assert html.extract('<div class="menu"><p>All that the page has to say.</p></div><p>x</p>').startswith("All that")
+    assert html.extract('<div class="story"><p>Words.</p></div><div id="comments"><article class="comment"><p>A reader has more to say than the page.</p></article></div>') == "Words."
+    assert html.extract('<div><p>Words of the story.</p></div><div class="ad-slot2">Buy</div><div class="cookie_notice"><p>Cookies</p></div>') == "Words of the story."
+    assert html.attributes_of(' class = "a b" data-id=x ID=\'y\' hidden title="id=z" id="no"') == {"class": "a b", "data-id": "x", "id": "y", "hidden": "", "title": "id=z"}
+
+
+def test_story_over_siblings():
+    assert html.extract("<body><article><p>One part of it.</p></article><article><p>Two parts of it.</p></article></body>") == "One part of it.\nTwo parts of it."
+    assert html.extract("<div class=x><section><p>One part of it.</p></section><section><p>Two parts of it.</p></section></div>") == "One part of it.\nTwo parts of it."
+    assert html.extract("<article><p>" + "Long story. " * 50 + "</p></article><article class=teaser><p>Another one.</p></article>") == ("Long story. " * 50).strip()
+
+
+def test_long_paths_are_told_apart():
+    deep = lambda last: "<div class=a>" * 90 + f"<div class={last}><p>Words.</p></div>"
+    one, other = html.vote(deep("x"))[0], html.vote("<section>" + deep("x"))[0]
+    assert len(one) == len(other) == 64 and one != other
+    assert html.extract(deep("x"), one) == "Words."
+
+
+def test_host_votes_match_a_plain_count(spark):
+    """Pages without an article: the host's path decides where a page's own best container differs."""
+    rng = random.Random(6)
+    rows, truth = [], {}
+    for i in range(60):
+        host, body = f"h{i % 3}", " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(30, 60)))
+        extra = " ".join(f"x{rng.randrange(999)}" for _ in range(40 if i % 9 == 4 else 6))
+        names = (("post", "extra"), ("lead", "box"), ("blog", "list"))[i % 3]
+        rows.append((i, f"https://{host}/p{i}", f"<html><body><div class='{names[0]}{i}'><p>{body}</p></div><div class='{names[1]}'><p>{extra} {extra}</p></div></body></html>"))
+        truth[i] = body
+    out = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out == truth
+    assert any(html.extract(h) != truth[i] for i, _, h in rows)
+
+
 def test_extract_pages(spark):
     rows = [(1, "http://h/1", PAGE, "x"), (1, "http://h/1", PAGE, "x"), (2, None, "", None), (None, None, None, None), (3, "http://h/3", "<div class='main1'><p>some words here</p></div>", "x")]
     schema = "page_id bigint, url string, html string, path string"
@@ -188,17 +241,54 @@ def test_language_cases(spark):
 
 def test_profiles_are_bound_and_bundled():
     e = langid.Encoder()
-    v = e.letters.astype(int)
-    s = lambda c: 1 + ord(c) % 255
+    v = lambda c: langid.letter_vectors(np.array([ord(c)])).astype(int)[0]
     want = np.zeros(langid.DIMENSIONS, int)
-    for a, b, c in [(0, s("a"), s("b")), (s("a"), s("b"), 0), (0, s("a"), 0)]:
-        want += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    for a, b, c in [("\0", "a", "b"), ("a", "b", "\0"), ("\0", "a", "\0")]:
+        want += np.roll(v(a), 2) * np.roll(v(b), 1) * v(c)
     assert (e.profile("Ab, 12 a").astype(int) == want).all()
-    assert e.profile("12 !") is None and e.profile(None) is None
+    assert e.profile("12 !") is None and e.profile(None) is None and e.profile("\u0301") is None
     many = "".join(chr(0x4E00 + i % 20000) + (" " if i % 7 == 0 else "") for i in range(90_000))
     assert np.isfinite(e.profile(many)).all() and (e.profile("ab") == langid.Encoder().profile("ab")).all()
 
 
+def test_letters_have_vectors_of_their_own():
+    points = np.array([*range(97, 123), 0x4E00, 0x4E00 + 255, 0x0915, 0x093F, 0x1F600])
+    own = langid.letter_vectors(points).astype(int)
+    common = own @ own.T / langid.DIMENSIONS - np.eye(len(points))
+    assert abs(common).max() < 0.25
+    e = langid.Encoder()
+    assert len(e.trigrams("कि")[0]) == 2 and len(e.trigrams("क ि")[0]) == 2 and not (e.profile("一丁") == e.profile("丟乀")).all()
+
+
+def test_predictions_match_plain_profiles(spark):
+    """Cosines with prototypes made letter by letter, and the sample rule of the training texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+
+    def plain(text):
+        s = "\0" + re.sub(r"[^a-zß-ÿœ]+", "\0", (text or "").lower()).strip("\0") + "\0"
+        grams = Counter(s[i : i + 3] for i in range(len(s) - 2) if s[i + 1] != "\0")
+        out = np.zeros(langid.DIMENSIONS)
+        for g, n in grams.items():
+            a, b, c = langid.letter_vectors(np.array([ord(x) for x in g])).astype(int)
+            out += n * np.roll(a, 2) * np.roll(b, 1) * c
+        return out
+
+    sums = {}
+    profiles = {r.doc_id: plain(r.text) for r in rows}
+    for r in rows:
+        if r.lang:
+            sums[r.lang] = sums.get(r.lang, 0) + profiles[r.doc_id]
+    units = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    mean = sum(units.values()) / len(units)
+    got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    for d, p in profiles.items():
+        own = p / np.linalg.norm(p) - mean
+        scores = {k: own @ (u - mean) / np.linalg.norm(own) / np.linalg.norm(u - mean) for k, u in units.items()}
+        best = min(scores, key=lambda k: (-scores[k], k))
+        assert got[d].lang_pred == best and got[d].score == pytest.approx(max(0.0, min(1.0, scores[best])), abs=1e-5)
+
+
 TURNS = [None, "", "plain", "\n\nleading and trailing \n ", "<|im_end|><|im_start|>assistant ok", "\\", "<", "|im_end|>", "<\\|", "a\\|b\\\\<|x|><", "é𝒳漢字🙂", "<|endoftext|>", "word " * 3000]
 
 

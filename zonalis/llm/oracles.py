@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BOILERPLATE, BOILERPLATE_WORDS, MAX_LOST
+from . import quality
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 BARE = r"regexp_replace({}, '[\x20\x09-\x0D]+', '', 'g')"
@@ -26,16 +26,30 @@ c as (select *, cast(least(3, floor(rate * k + u) - floor(rate * (k - 1) + u)) a
 select doc_id, size, source_size, target, size * copies taken, copies from c"""
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _fails(line: str) -> str:
-    """The line rules, for a line with n words."""
+    """The line rules."""
     n = f"len({WORDS.format(line)})"
-    pipes = f"len(regexp_replace({line}, '[^|]', '', 'g'))"
-    symbols = f"len(regexp_replace({line}, '[^#*$%&|<>]', '', 'g'))"
-    marks = f"len(regexp_replace({line}, '[^!]', '', 'g'))"
-    plain = rf"len(regexp_replace({line}, '[^\pL\pM\pN]', '', 'g'))"
-    phrases = " or ".join(f"contains(lower({line}), '{p}')" for p in BOILERPLATE)
-    return f"""({n} > 0 and (({pipes} >= 1 and {n} - {pipes} <= 3 * ({pipes} + 1)) or 2 * {symbols} >= {n} or ({n} >= 3 and 2 * {marks} >= {n})
-  or ({n} >= 3 and upper({line}) = {line} and lower({line}) <> {line}) or ({n} >= 3 and 2 * {plain} < len({BARE.format(line)})) or ({n} <= {BOILERPLATE_WORDS} and ({phrases}))))"""
+    count = lambda cls: f"(len({line}) - len(regexp_replace({line}, {_quoted(cls)}, '', 'g')))"
+    bare = f"len({BARE.format(line)})"
+    trimmed = f"trim({line}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    phrases = " or ".join(f"contains(lower({line}), {_quoted(p)})" for p in quality.BOILERPLATE)
+    has = lambda pattern: f"regexp_matches({line}, {_quoted(pattern)})"
+    rules = (
+        f"({n} <= {quality.FRAGMENT_WORDS} and not regexp_matches({trimmed}, {_quoted(quality.ENDING)}))",
+        f"2 * {count('[' + quality.SYMBOLS + ']')} >= {n}",
+        f"({has(quality.SEPARATOR)} and {n} - {count(quality.SEPARATOR)} <= 3 * ({count(quality.SEPARATOR)} + 1))",
+        f"({n} >= 3 and 2 * {count('!')} >= {n})",
+        f"({n} >= 3 and not {has(quality.SMALL)} and {has(quality.CAPITAL)})",
+        f"({n} >= 3 and 2 * ({bare} - len(regexp_replace({BARE.format(line)}, '[\\pL\\pM\\pN]', '', 'g'))) < {bare})",
+        f"({n} >= 3 and 2 * len(list_filter({WORDS.format(line)}, lambda w: regexp_matches(w, {_quoted(quality.NUMBER)}))) > {n})",
+        f"2 * len(regexp_extract_all({line}, {_quoted(quality.LINK)})) >= {n}",
+        f"({n} <= {quality.BOILERPLATE_WORDS} and ({phrases}))",
+    )
+    return f"({n} > 0 and ({' or '.join(rules)}))"
 
 
 def _op5() -> str:
@@ -52,7 +66,7 @@ b as (select d.doc_id, cast(len(w) as bigint) n_words, cast(len({BARE.format('te
   coalesce(list_sum([len({BARE.format('x')}) for x in lines if {_fails('x')}]), 0) lost
   from d left join n on d.doc_id = n.doc_id),
 v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from b)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 10 * lost <= {round(10 * MAX_LOST)} * word_chars kept from v"""
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 10 * lost <= {round(10 * quality.MAX_LOST)} * word_chars kept from v"""
 
 
 def _op7() -> str:
