@@ -63,6 +63,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished rounds of a loop have left: only a collection of its heap tells Spark
+    which checkpoints, shuffle files and broadcasts no plan refers to any more."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 #: A key with more than this share of the rows is hot; so there are fewer hot keys than its inverse.
 HOT_SHARE = 1 / 1000
 
@@ -71,11 +77,11 @@ def join_spread(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Inner join of rows with names, which has one row a key and in ``n`` the number of the key's rows
     (dropped). The hot keys, under a thousand, are broadcast; the others are joined by a shuffle.
     Both sides are read twice where a key is hot."""
-    total = names.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") > max(1000, total * HOT_SHARE)
-    hot, cold = names.where(is_hot).drop("n"), names.where(~is_hot).drop("n")
-    if hot.isEmpty():
-        return rows.join(cold, key)
+    total, most = names.agg(F.sum("n"), F.max("n")).first()
+    least = max(1000, (total or 0) * HOT_SHARE)
+    if (most or 0) <= least:
+        return rows.join(names.drop("n"), key)
+    hot, cold = names.where(F.col("n") > least).drop("n"), names.where(F.col("n") <= least).drop("n")
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 

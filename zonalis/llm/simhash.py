@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_spread, partitions
+from .common import checkpoint, join_spread, partitions, release
 
 MAX_DISTANCE = 2
 #: Members of a bucket that are compared with each probe; larger buckets are split by the other segment.
 BUCKET = 32
+#: Parts into which a node's edges are dealt.
+SALTS = 8
 
 
 def fingerprint(text: str | None) -> int:
@@ -80,22 +82,25 @@ def links(fps: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component of edges (a, b), by alternating large and small
-    stars; a round is two shuffles of the edges, and rounds grow with the logarithm of the size. Nodes
-    that hold a thousandth of a round's edges or more are joined by a broadcast."""
+    stars; a round is two shuffles of the edges, and rounds grow with the logarithm of the size. A node's
+    edges are dealt by ``SALTS`` salts where they meet its least neighbour, so that no hub is one task's."""
     edges = checkpoint(edges.select("a", "b").where("a <> b").distinct())
-    seen = None
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
-        large = checkpoint(join_spread(both, least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), salts)
+        met = both.select("u", "v", salt).join(least.hint("merge"), ["u", "salt"])
+        large = checkpoint(met.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct())
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = checkpoint(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = join_spread(down, low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").union(low.select("m", "u")).distinct()
-        edges = checkpoint(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        met = down.select("u", "v", salt).join(low.select("u", "m", salts).hint("merge"), ["u", "salt"])
+        edges = checkpoint(met.select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").union(low.select("m", "u")).distinct())
+        ends = edges.select(F.col("b").alias("u"), F.lit(1).alias("n")).union(edges.select("a", F.lit(0)).distinct())
+        found = ends.groupBy("u").agg(F.sum("n").alias("n"), F.count("*").alias("all")).where("n > 1 or n = 1 and all > 1").isEmpty()
+        release(edges.sparkSession)
+        if found:  # all are stars: a node has one root, and no root has one
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        seen = now
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
