@@ -172,7 +172,7 @@ def test_host_votes_match_a_plain_count(spark):
     rng = random.Random(6)
     rows, truth = [], {}
     for i in range(60):
-        host, body = f"h{i % 3}", " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(30, 60)))
+        host, body = f"h{i % 3}", " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(48, 60)))
         extra = " ".join(f"x{rng.randrange(999)}" for _ in range(40 if i % 9 == 4 else 6))
         names = (("post", "extra"), ("lead", "box"), ("blog", "list"))[i % 3]
         rows.append((i, f"https://{host}/p{i}", f"<html><body><div class='{names[0]}{i}'><p>{body}</p></div><div class='{names[1]}'><p>{extra} {extra}</p></div></body></html>"))
