@@ -10,15 +10,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The control strings of the template.
 START, BODY, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
+#: Conversations that are encoded before they are handed on.
+BATCH = 256
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>", re.S)
 
@@ -61,16 +66,23 @@ def mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
 
 def masked_text(formatted: str, offsets: np.ndarray, on: np.ndarray) -> str:
     """The characters under the mask, each once (a character may be split over tokens), unescaped."""
-    out, at = [], 0
-    for start, end in offsets[on].tolist():
-        if end > at:
-            out.append(formatted[max(start, at) : end])
-            at = end
-    return unescape("".join(out))
+    own = offsets[on]
+    if not len(own):
+        return ""
+    reach = np.maximum.accumulate(own[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], own[1:, 0] > reach[:-1]]))  # where a run of characters starts
+    ends = reach[np.concatenate([first[1:] - 1, [len(own) - 1]])]
+    return unescape("".join(formatted[a:b] for a, b in zip(own[first, 0].tolist(), ends.tolist(), strict=True)))
 
 
+def offsets_of(encoding) -> np.ndarray:
+    """(start, end) of each token, in code points."""
+    return np.fromiter(chain.from_iterable(encoding.offsets), np.int32, 2 * len(encoding)).reshape(-1, 2)
+
+
+@lru_cache(2)
 def load_tokenizer(path: str):
-    """A byte-level tokenizer whose only special tokens are the control strings; offsets cover white space."""
+    """The worker's tokenizer, loaded once: a byte-level tokenizer whose only special tokens are the control strings; offsets cover white space."""
     from tokenizers import AddedToken, Tokenizer, processors
 
     t = Tokenizer.from_file(path)
@@ -87,6 +99,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A list column of arrays, without a Python object a value."""
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0), kind))
+
+
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns): the rows of a conversation by turn, role and text, nulls first."""
     turn = F.struct("turn", "role", "text")
@@ -103,7 +121,6 @@ def format_chats(rows: DataFrame, path: str | None = None) -> DataFrame:
     conversation is one row of one task, and is encoded whole, without truncation.
     """
     path = path or tokenizer_path()
-    read = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
     schema = "conv_id bigint, formatted string, input_ids array<int>, loss_mask array<boolean>, turns array<struct<role:string,text:string>>, loss_text string"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,19 +129,26 @@ def format_chats(rows: DataFrame, path: str | None = None) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = load_tokenizer(path)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                rendered = [render([(x["role"], x["text"]) for x in turns]) for turns in part.column(1).to_pylist()]
-                ids, masks, texts = [], [], []
+            for i in range(0, b.num_rows, BATCH):
+                part = b.slice(i, BATCH)
+                own = part.column(1).flatten()
+                turns = list(zip(own.field("role").to_pylist(), own.field("text").to_pylist(), strict=True))
+                ends = np.cumsum(pc.list_value_length(part.column(1)).to_numpy()).tolist()
+                rendered = [render(turns[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+                ids, masks, losses = [], [], []
                 for formatted, spans in rendered:
                     e = t.encode(formatted, add_special_tokens=False)
-                    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
+                    offsets = offsets_of(e)
                     on = mask(offsets, spans)
-                    ids.append(e.ids)
-                    masks.append(on.tolist())
-                    texts.append(masked_text(formatted, offsets, on))
+                    ids.append(np.fromiter(e.ids, np.int32, len(e)))
+                    masks.append(on)
+                    losses.append(masked_text(formatted, offsets, on))
+                read = [parse(formatted) for formatted, _ in rendered]
+                flat = list(chain.from_iterable(read))
+                structs = pa.StructArray.from_arrays([pa.array([r for r, _ in flat], pa.string()), pa.array([x for _, x in flat], pa.string())], ["role", "text"])
+                again = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, read)], dtype=np.int32)), structs)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x for x, _ in rendered], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())), pa.array([[{"role": r, "text": x} for r, x in parse(f)] for f, _ in rendered], read), pa.array(texts, pa.string())],
+                    [part.column(0), pa.array([x for x, _ in rendered], pa.string()), lists(ids, pa.int32()), lists(masks, pa.bool_()), again, pa.array(losses, pa.string())],
                     ["conv_id", "formatted", "input_ids", "loss_mask", "turns", "loss_text"],
                 )
 
