@@ -217,10 +217,10 @@ def s18_raster_url(spark, sf):
     return spark.read.parquet(f"{sf}/customer.parquet").select(k.cast("bigint").alias("id"), text.raster_url((1990 + k % 35).cast("int"), variable, "https://store.example", "/agb/").alias("url"))
 
 
-@query(f"with {R.CELLS}, s as (select tile_x, max(px_row) + 1 r1, max(px_col) + 1 c1, max(px_row) filter (v < 45) + 1 r2, max(px_col) filter (v < 45) + 1 c2 from pixels group by 1) select tile_x, cast(r1 as int) base_rows, cast(c1 as int) base_cols, cast(r2 as int) comp_rows, cast(c2 as int) comp_cols from s where r2 is not null and (r1 <> r2 or c1 <> c2)")
+@query(f"with {R.CELLS}, s as (select tile_x, max(px_row) + 1 r1, max(px_col) + 1 c1, max(px_row) filter (px_row < 252 + tile_x) + 1 r2, max(px_col) filter (px_row < 252 + tile_x) + 1 c2 from pixels group by 1) select tile_x, cast(r1 as int) base_rows, cast(c1 as int) base_cols, cast(r2 as int) comp_rows, cast(c2 as int) comp_cols from s where r2 is not null and (r1 <> r2 or c1 <> c2)")
 def f22_tile_sizes(spark, sf):
     p = R.pixels(spark, sf)
-    out = tiles.mismatched_tiles(p, p.where("v < 45"), ["tile_x"], ("px_row", "px_col"))
+    out = tiles.mismatched_tiles(p, p.where("px_row < 252 + tile_x"), ["tile_x"], ("px_row", "px_col"))
     return out.select("tile_x", *[F.col(f"{y}.{c}").cast("int").alias(f"{y}_{c}") for y in ("base", "comp") for c in ("rows", "cols")])
 
 
