@@ -283,6 +283,15 @@ def test_large_rings_are_quick(spark):
     assert time.perf_counter() - start < 60
 
 
+def test_areas_broadcast_no_feature(spark):
+    """Tables with rows for each feature grow with the features: the driver's memory held a few of them at 900 000."""
+    rings = [(i, 0, 0, k, float(x), float(y)) for i in range(50) for k, (x, y) in enumerate([(0, 0), (i % 5 + 1, 2), (0, 2), (i % 3 + 1, 0), (0, 0)])]
+    out = polygon.slab_areas(polygon.edges(spark.createDataFrame(rings, "id int, part int, ring int, seq int, x double, y double")))
+    assert out.count() == 50
+    out.collect()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parts_of_any_geometry(spark):
     point, line = {"type": "Point", "coordinates": [7, 8]}, {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}
     square_ = {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]}

@@ -19,6 +19,12 @@ def edges(vertices: DataFrame) -> DataFrame:
     return vertices.select(*RING, F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(by).alias("x2"), F.lead("y").over(by).alias("y2")).where("x2 is not null")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that has rows for each feature: both sides are shuffled, never broadcast, as its size
+    grows with the features, and a few broadcasts at once fill the driver's memory."""
+    return df.hint("merge")
+
+
 def scanlines(edges: DataFrame, rows: int, cols: int) -> DataFrame:
     """id, row, c0, c1: spans of columns [c0, c1) whose pixel centres are inside, on a unit grid with
     rows downwards. Work grows with the boundary's length in rows; a centre on the left or upper boundary
@@ -93,10 +99,10 @@ def meetings(edges: DataFrame) -> DataFrame:
     """
     own = edges.groupBy("id").agg(
         F.min(F.least("x1", "x2")).alias("_west"), F.max(F.greatest("x1", "x2")).alias("_east"), F.min(F.least("y1", "y2")).alias("_south"), F.max(F.greatest("y1", "y2")).alias("_north"),
-        F.least(F.lit(2048.0), F.greatest(F.lit(16.0), F.ceil(2 * F.sqrt(F.count("*"))).cast("double"))).alias("_g"),
+        F.least(F.lit(2048.0), F.greatest(F.lit(2.0), F.ceil(2 * F.sqrt(F.count("*"))).cast("double"))).alias("_g"),
     )
     wide = lambda lo, hi: F.greatest((F.col(hi) - F.col(lo)) / F.col("_g"), F.lit(1e-12))
-    numbered = edges.join(own, "id").withColumn("_e", F.xxhash64("part", "ring", "x1", "y1", "x2", "y2")).withColumn("_w", wide("_west", "_east")).withColumn("_h", wide("_south", "_north"))
+    numbered = edges.join(_dealt(own), "id").withColumn("_e", F.xxhash64("part", "ring", "x1", "y1", "x2", "y2")).withColumn("_w", wide("_west", "_east")).withColumn("_h", wide("_south", "_north"))
     cell = lambda v, lo, size: F.floor((v - F.col(lo)) / F.col(size)).cast("int")
     rows = numbered.withColumn("_row", F.explode(F.sequence(cell(F.least("y1", "y2"), "_south", "_h") - 1, cell(F.greatest("y1", "y2"), "_south", "_h") + 1)))
     at = lambda y: F.when(F.col("y1") == F.col("y2"), F.lit(None)).otherwise(F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
@@ -110,7 +116,7 @@ def meetings(edges: DataFrame) -> DataFrame:
     other = cut.select("id", "_row", "_col", *[F.col(c).alias(f"o{c}") for c in ("_e", "x1", "y1", "x2", "y2")])
     side = lambda ax, ay, bx, by, cx, cy: (F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax))
     over = (F.least("x1", "x2") <= F.greatest("ox1", "ox2")) & (F.greatest("x1", "x2") >= F.least("ox1", "ox2")) & (F.least("y1", "y2") <= F.greatest("oy1", "oy2")) & (F.greatest("y1", "y2") >= F.least("oy1", "oy2"))
-    both = cut.join(other, ["id", "_row", "_col"]).where((F.col("_e") < F.col("o_e")) & over)
+    both = cut.join(_dealt(other), ["id", "_row", "_col"]).where((F.col("_e") < F.col("o_e")) & over)
     d1, d2 = side("x1", "y1", "x2", "y2", "ox1", "oy1"), side("x1", "y1", "x2", "y2", "ox2", "oy2")
     d3, d4 = side("ox1", "oy1", "ox2", "oy2", "x1", "y1"), side("ox1", "oy1", "ox2", "oy2", "x2", "y2")
     proper = (d1 * d2 < 0) & (d3 * d4 < 0)
@@ -137,15 +143,15 @@ def slab_areas(edges: DataFrame) -> DataFrame:
     """
     met = meetings(edges)
     rings = edges.groupBy("id", "part", "ring").agg(F.count("*").alias("n"), F.count_distinct("x1", "y1").alias("points")).groupBy("id").agg(F.count("*").alias("rings"), F.min(F.col("n") == F.col("points")).alias("once"))
-    plain = rings.where("rings = 1 and once").join(met.select("id").distinct(), "id", "left_anti").select("id")
+    plain = _dealt(rings.where("rings = 1 and once").join(_dealt(met.select("id").distinct()), "id", "left_anti").select("id"))
     rest = edges.join(plain, "id", "left_anti")
     ys = rest.select("id", F.col("y1").alias("y")).union(rest.select("id", "y2")).union(met.where("proper").join(plain, "id", "left_anti").select("id", "y")).distinct()
     by = Window.partitionBy("id").orderBy("y")
     slabs = ys.withColumn("top", F.lead("y").over(by)).withColumn("rank", F.row_number().over(by))
-    place = lambda c: slabs.select("id", F.col("y").alias(c), F.col("rank").alias(f"_{c}"))
+    place = lambda c: _dealt(slabs.select("id", F.col("y").alias(c), F.col("rank").alias(f"_{c}")))
     ranked = rest.where("y1 <> y2").join(place("y1"), ["id", "y1"]).join(place("y2"), ["id", "y2"])
     dealt = ranked.withColumn("rank", F.explode(F.sequence(F.least("_y1", "_y2"), F.greatest("_y1", "_y2") - 1)))
-    within = dealt.join(slabs, ["id", "rank"])
+    within = dealt.join(_dealt(slabs), ["id", "rank"])
     at = lambda y: F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     lines = within.select("id", "y", "top", at(F.col("y")).alias("a"), at(F.col("top")).alias("b"), at((F.col("y") + F.col("top")) / 2).alias("m"))
     order = Window.partitionBy("id", "y").orderBy("m", "a", "b")
