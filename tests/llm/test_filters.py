@@ -160,6 +160,28 @@ def test_near_dedup_links_similar_texts(spark, monkeypatch, chunk):
     assert neardup.keep_one(helpers.frame(spark, [])).count() == 0
 
 
+def test_near_dedup_probes_balls_of_whole_fingerprints(spark):
+    """Without the tables of samples nine in ten of the pairs near the least similarity are linked, and of a large
+    group of copies with a changed word all."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        other = [w if i % 48 != 24 else "new" for i, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(other)]
+    words = [f"w{i}" for i in range(300)]
+    texts += [" ".join([*words[:i], "new", *words[i + 1 :]]) for i in range(100)]
+    sets = [neardup.shingles(t) for t in texts]
+    alike = [len(np.intersect1d(sets[i], sets[i + 1])) / len(np.union1d(sets[i], sets[i + 1])) for i in range(0, 300, 2)]
+    assert 0.8 <= min(alike) and max(alike) < 0.83
+    docs = helpers.frame(spark, [(i, t, *[None] * 7) for i, t in enumerate(texts)])
+    own = neardup.entries(docs).withColumn("keys", F.array().cast("array<bigint>"))
+    place = {r.node: r.doc_id for r in own.collect()}
+    got = {tuple(sorted((place[r.a], place[r.b]))) for r in neardup.links(docs, own).collect()}
+    assert sum((i, i + 1) in got for i in range(0, 300, 2)) >= 135
+    assert len([1 for a, b in got if a >= 300]) == 99 and all(b == a + 1 and a % 2 == 0 for a, b in got if a < 300)
+
+
 def test_near_dedup_of_shared_and_null_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     data = [(1, a), (1, b), (1, b), (2, b), (None, a), (None, c), (None, c + " end"), (None, d), (3, d), (4, None), (None, "")]
